@@ -5,18 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .shared import read
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP1_SQL = f"""
+with d as (select doc_id, {_ALNUM_WORDS} as w from documents),
+b as (select item_id, {_ALNUM_WORDS} as w from benchmark),
+bw as (select distinct item_id, len(w[i:i + 9]) as size, array_to_string(w[i:i + 9], ' ') as gram
+       from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)),
+sizes as (select distinct size from bw),
+dw as (select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as gram
+       from (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as i from d, sizes)),
+hits as (select doc_id, i, dw.size, item_id from dw join bw using (gram)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + size - 1)) as p from hits) group by doc_id),
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hits group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""
+
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, threshold="17/20")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_near_dedup": op3_near_dedup}
+    return {"op1_decontaminate": op1_decontaminate, "op3_near_dedup": op3_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": OP1_SQL}
