@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
+def lower_points() -> np.ndarray:
+    """The lower-case code point of each code point, where that is a single one."""
+    lowered = (chr(c).lower() for c in range(0x110000))
+    return np.fromiter((ord(x) if len(x) == 1 else c for c, x in enumerate(lowered)), np.uint32, 0x110000)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each text starts (one more entry for the end). Null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
