@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "4/5") -> Data
     bands = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
     members = cut(bands.join(buckets, "key"))
-    texts = cut(heads.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "words", *(F.col("sketch")[i].alias(f"s{i}") for i in range(_WORDS64))))
+    texts = cut(heads.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "words", "bands", *(F.col("sketch")[i].alias(f"s{i}") for i in range(_WORDS64))))
 
     def verified(pairs: DataFrame) -> DataFrame:
         words = texts.select("doc_id", "words")
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "4/5") -> Data
     p = (1 + float(bound)) / 2
     most = int(COORDINATES * (1 - p + 4 * sqrt(p * (1 - p) / COORDINATES)))
     apart = " + ".join(f"bit_count(l.s{i} ^ r.s{i})" for i in range(_WORDS64))
-    rest = open_.alias("l").join(open_.alias("r"), F.expr(f"l.key = r.key and l.component < r.component and {apart} <= {most}"))
+    rest = open_.alias("l").join(open_.alias("r"), F.expr(f"l.key = r.key and l.component < r.component and {apart} <= {most} and array_intersect(l.bands, r.bands)[0] = l.key"))
     more = verified(rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
     # What is linked already counts as one node, so this round joins whole components.
     final = components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)).withColumnRenamed("id", "rep")
