@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .language_id import identify_languages
 from .licenses import license_scan
+from .line_dedup import duplicate_lines
+from .mixing import LANGUAGES, TOPICS, mix
 from .near_dedup import near_duplicates
 from .shared import read
 from .token_counts import token_counts
@@ -42,6 +44,14 @@ from d left join covered using (doc_id) left join items using (doc_id)
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_dropped and the dropped line numbers, comma-joined."""
+    docs = read(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    found = lines.join(duplicate_lines(docs), "doc_id", "left")
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, threshold="17/20")
 
@@ -75,6 +85,43 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_b
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), limit=512)
 
 
+#: Equal shares for the sources; languages and length bands as given.
+MIX_TARGETS = {"source": None, "lang": LANGUAGES, "topic": TOPICS}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read(spark, sf_dir, "documents"), MIX_TARGETS)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
+def _mix_sql(sweeps: int = 12) -> str:
+    given = {"source": "1.0::double", "lang": _case("lang", LANGUAGES), "topic": _case("topic", TOPICS)}
+    steps, last = [], "c0"
+    for sweep in range(sweeps):
+        for i, (d, share) in enumerate(given.items()):
+            name = f"c{3 * sweep + i + 1}"
+            total = "(select sum(tokens) from cells)::double"
+            present = f"(select sum(s) from (select distinct {d}, {share} as s from cells where tokens > 0))"
+            part = f"sum(w * tokens) over (partition by {d})"
+            steps.append(f"{name} as materialized (select source, lang, topic, tokens, case when {part} > 0 then w * ({share} / {present}) * {total} / {part} else 0 end as w from {last})")
+            last = name
+    return f"""
+with d as (select doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+'))::bigint as n_tokens from documents),
+t as (select *, case when n_tokens < 150 then 'brief' when n_tokens < 600 then 'medium' else 'long' end as topic from d),
+cells as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens from t group by all),
+c0 as (select *, case when tokens > 0 then 1.0::double else 0.0::double end as w from cells),
+{", ".join(steps)},
+p as (select source, lang, topic, w, w / (select max(w) from {last}) as p from {last})
+select doc_id, t.source, t.lang, t.topic, n_tokens, round(w, 6) as weight, round(p, 6) as probability,
+       ('0x' || substr(md5('mix-' || doc_id), 1, 8))::bigint / 4294967296.0::double < p as sampled
+from t join p on t.source is not distinct from p.source and t.lang is not distinct from p.lang and t.topic = p.topic
+"""
+
+
+def _case(column: str, shares: dict[str, float]) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v}::double" for k, v in shares.items()) + " else 0.0::double end"
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
@@ -82,14 +129,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_line_dedup": op2_line_dedup,
         "op3_near_dedup": op3_near_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_top_k": op6_top_k,
         "op8_token_counts": op8_token_counts,
+        "op9_mixing": op9_mixing,
         "op10_license_scan": op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_top_k": OP6_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_top_k": OP6_SQL, "op9_mixing": _mix_sql()}
