@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats
 from .decontaminate import contamination
 from .language_id import identify_languages
 from .licenses import license_scan
@@ -79,6 +80,21 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read(spark, sf_dir, "conversations"))
+
+
+#: The same for turns of plain text; turns that are JSON objects (tool calls and results) are tested by brute force.
+OP7_SQL = """
+with m as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
+           where conv_id is not null and turn is not null),
+j as (select conv_id, turn // 1000 as part, turn, role, text, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' as json from m)
+select conv_id, part, count(*) as n_messages, 0::bigint as n_calls, 0::bigint as n_results, 0::bigint as n_linked, 0::bigint as n_moved,
+       0::bigint as n_invalid, '[' || string_agg(json, ',' order by turn, role, json) || ']' as messages
+from j group by conv_id, part
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers
 
@@ -134,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_top_k": op6_top_k,
+        "op7_chat_format": op7_chat_format,
         "op8_token_counts": op8_token_counts,
         "op9_mixing": op9_mixing,
         "op10_license_scan": op10_license_scan,
@@ -141,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_top_k": OP6_SQL, "op9_mixing": _mix_sql()}
+    return {"op1_decontaminate": OP1_SQL, "op6_top_k": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_mixing": _mix_sql()}
