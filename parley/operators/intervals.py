@@ -97,7 +97,7 @@ def reduce_to_two(turns: DataFrame, minor: float = 0.05) -> DataFrame:
     by_talk = Window.partitionBy("call_id").orderBy(F.desc("talk"), "speaker")
     share = F.col("talk") / F.sum("talk").over(Window.partitionBy("call_id"))
     ranked = per.withColumn("rank", F.row_number().over(by_talk)).withColumn("share", share)
-    n = ranked.where(F.col("share") >= minor).groupBy("call_id").agg(F.count(F.lit(1)).alias("n_speakers"))
+    n = ranked.groupBy("call_id").agg(F.count_if(F.col("share") >= minor).alias("n_speakers"))
     major = ranked.where((F.col("rank") == 1) | ((F.col("rank") == 2) & (F.col("share") >= minor)))
     major = major.withColumn("label", F.concat(F.lit("P"), F.row_number().over(Window.partitionBy("call_id").orderBy("first", "speaker")).cast("string"))).select("call_id", "speaker", "label")
     known = turns.join(major, ["call_id", "speaker"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_query(name: str, spark_sql: str, duckdb_sql: str | None = None) -> None:
+    """Register a query written in SQL; {table} stands for a table. duckdb_sql: its form for DuckDB, if that differs."""
+    tables = sorted(set(re.findall(r"\{(\w+)\}", spark_sql)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(spark_sql, **{t: table(spark, sf_dir, t) for t in tables})
+
+    query(name, re.sub(r"\{(\w+)\}", r"\1", duckdb_sql or spark_sql))(run)
