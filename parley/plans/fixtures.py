@@ -96,11 +96,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEANS = ", ".join(f"avg(p[{k + 1}])" for k in range(len(LABELS)))
 CELLS = EMISSIONS + f""",
 tense as (select *, case when widx % 5 <> 0 then ((call_id * 13 + widx * 7) % 101) / 100.0::double end as tension from emissions),
-covered as (select *, unnest(range(w_start // 1000, greatest(w_start // 1000 + 1, -((-w_end) // 1000)))) as cell from tense),
+covered as (select *, unnest(range(w_start // 1000, greatest(w_start // 1000 + 1, (w_end + 999) // 1000))) as cell from tense),
 means as (select call_id, speaker, cell, [{_MEANS}] as p, avg(conf) as conf, avg(tension) as tension from covered group by all),
 said as (select call_id, speaker, turn, start_ms, ((call_id * 11 + turn * 29) % 201 - 100) / 100.0::double as text_score, ((turn * 17) % 61) / 100.0::double as text_conf,
                 ((call_id + turn * 37) % 101) / 100.0::double as text_frust,
-                unnest(range(start_ms // 1000, greatest(start_ms // 1000 + 1, -((-end_ms) // 1000)))) as cell from turns),
+                unnest(range(start_ms // 1000, greatest(start_ms // 1000 + 1, (end_ms + 999) // 1000))) as cell from turns),
 texts as (select call_id, speaker, cell, arg_max(text_score * least(1.0, 0.4 + text_conf), start_ms * 100000 + turn) as text_score, arg_max(text_frust, start_ms * 100000 + turn) as text_frust
           from said group by all),
 cells as (select means.*, cell + 0.5::double as t, text_score, text_frust from means left join texts using (call_id, speaker, cell))"""
