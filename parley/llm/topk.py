@@ -121,12 +121,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, bl
         width = max(len(r["q"]) for r in rows)
         matrix = np.array([[*r["q"], *[0.0] * (width - len(r["q"]))] for r in rows])
         shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), matrix))
-        local = data.mapInArrow(_scan(shared, k, lists), schema)
+        local = data.mapInArrow(_scan(shared, k, lists), schema).distinct()
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         tops = local.withColumn("rank", F.row_number().over(by_score)).where(f"rank <= {k}").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("cut"))
         lowest = {r["query_id"]: r["cut"] for r in tops.where(f"n = {k}").collect()}
         floor = np.iinfo(np.int64).min // 4
         cutoffs = spark.sparkContext.broadcast(np.array([lowest.get(r["vec_id"], floor) for r in rows]))
         found = found.union(data.mapInArrow(_scan(shared, k, lists, cutoffs), schema))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    # A row that is repeated in other tasks comes from each of them.
+    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
