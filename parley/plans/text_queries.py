@@ -12,9 +12,9 @@ from ..functions import text as tf
 from .registry import query, table
 
 
-@query("sf1_norm", r"""select doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_\s?!¿¡]', ' ', 'g'), '\s+', ' ', 'g')) as clean from documents where lang <> 'de'""")
+@query("sf1_norm", r"""select doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_\s''?!¿¡]', ' ', 'g'), '\s+', ' ', 'g')) as clean from documents""")
 def sf1_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", tf.norm(F.col("text")).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", tf.norm(F.col("text")).alias("clean"))
 
 
 @query("sf2_lexicon")
