@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
+#: Links up to which a round's minima are sent to every task, 16 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 300_000
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links(a, b) -> (id, component): each linked id with the smallest id reachable from it, itself included.
@@ -23,11 +26,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     state = _state(edges)
     for _ in range(most_rounds):
+        sent = F.broadcast if state[0] <= MOST_BROADCAST else lambda df: df
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
+        large = both.join(sent(least), "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
         low = large.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"))
-        small = large.withColumnRenamed("v", "x").join(low, "x")
+        small = large.withColumnRenamed("v", "x").join(sent(low), "x")
         edges = cut(small.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("x").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u < v").distinct())
         before, state = state, _state(edges)
         if state == before:
