@@ -38,22 +38,22 @@ scored as (select *, least(greatest(50 + 50 * least(greatest(1.6::double * (sign
   / (4.5::double + case when text is null then 0 else 0.4::double end + case when prosody is null then 0 else 0.25::double end), -1), 1), 0), 100) as score from h)"""
 
 
-@query("se_components", f"with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)} select call_id, speaker, n, {', '.join(f'round({c}, 6) as {c}' for c in [*engine.COMPONENTS, 'B'])}, round(score, 3) as score from scored where n >= 3")
+@query("se_components", f"with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)} select call_id, speaker, n, {', '.join(f'round({c} + 1e-9::double, 6) as {c}' for c in [*engine.COMPONENTS, 'B'])}, round(score, 3) as score from scored where n >= 3")
 def se_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = engine.components(fixtures.cells(spark, sf_dir), KEYS).where("n >= 3")
-    return found.select(*KEYS, "n", *(F.round(c, 6).alias(c) for c in [*engine.COMPONENTS, "B"]), F.round("score", 3).alias("score"))
+    return found.select(*KEYS, "n", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in [*engine.COMPONENTS, "B"]), F.round("score", 3).alias("score"))
 
 
 @query("se8_contributions", f"""with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)},
 w as (select *, 4.5::double + case when text is null then 0 else 0.4::double end + case when prosody is null then 0 else 0.25::double end as bottom from scored),
 e as ({' union all '.join(f"select call_id, speaker, '{c}' as component, {c} as value, 50 * 1.6::double * {x}::double * {c} / bottom as points from w" for c, x in (('signal', 1.0), ('final_state', 1.2), ('trend', 1.0), ('persistence', 1.0), ('stability', 0.3), ('text', 0.4), ('prosody', 0.25)))})
-select call_id, speaker, component, round(value, 4) as value, round(points, 2) as points from e where value is not null and abs(points) >= 1""")
+select call_id, speaker, component, round(value + 1e-9::double, 4) as value, round(points + 1e-9::double, 2) as points from e where value is not null and abs(points) >= 1""")
 def se8_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = engine.contributions(engine.components(fixtures.cells(spark, sf_dir), KEYS)).where("abs(points) >= 1")
-    return found.withColumn("value", F.round("value", 4)).withColumn("points", F.round("points", 2))
+    return found.withColumn("value", F.round(F.col("value") + 1e-9, 4)).withColumn("points", F.round(F.col("points") + 1e-9, 2))
 
 
-@query("se9_timeline", f"""with recursive {fixtures.CELLS},
+TIMELINE = f"""{fixtures.CELLS},
 sliced as (select cells.*, unnest(range(ceil((t - 1e-6) / 10)::bigint, floor((t + 60) / 10)::bigint + 1)) as k from cells),
 {_components('sliced', 'call_id, speaker, k', (0.4, 5, 60), 0.5)},
 ends as (select call_id, speaker, max(cell) + 1.0::double as duration from cells group by all),
@@ -61,10 +61,13 @@ steps as (select call_id, speaker, duration, unnest(range(0, ceil((duration + 10
 r as materialized (select steps.*, coalesce(n, 0) >= 3 as ok, score from steps left join scored using (call_id, speaker, k)),
 ema as (select call_id, speaker, duration, k, case when ok then score end as ema from r where k = 0
         union all select r.call_id, r.speaker, r.duration, r.k, case when not r.ok then ema.ema when ema.ema is null then r.score else 0.35::double * r.score + (1 - 0.35::double) * ema.ema end
-        from ema join r on r.call_id = ema.call_id and r.speaker = ema.speaker and r.k = ema.k + 1)
-select call_id, speaker, least(k * 10.0::double, duration) as t, round(ema, 2) as score from ema where ema is not null""")
+        from ema join r on r.call_id = ema.call_id and r.speaker = ema.speaker and r.k = ema.k + 1),
+line as (select call_id, speaker, least(k * 10.0::double, duration) as t, ema as score from ema where ema is not null)"""
+
+
+@query("se9_timeline", f"with recursive {TIMELINE} select call_id, speaker, t, round(score + 1e-9::double, 2) as score from line")
 def se9_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.timeline(fixtures.cells(spark, sf_dir), KEYS).withColumn("score", F.round("score", 2))
+    return engine.timeline(fixtures.cells(spark, sf_dir), KEYS).withColumn("score", F.round(F.col("score") + 1e-9, 2))
 
 
 @query("se10_initial_final")
