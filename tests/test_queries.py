@@ -23,7 +23,7 @@ def test_equals_sql(spark, db, name):
 def test_runs(spark, name):
     found = QUERIES[name](spark, DATA)
     assert len(set(found.columns)) == len(found.columns)
-    assert found.count() >= 0
+    found.write.format("noop").mode("overwrite").save()
 
 
 def test_names_of_sql_are_queries():
