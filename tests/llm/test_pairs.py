@@ -220,3 +220,31 @@ def test_dropping_lines(spark):
     assert left.columns == docs.columns and 3 not in rows and None in rows and {4, 5, 8} <= set(rows)
     assert rows[6]["text"] == "same" and rows[6]["n_chars"] == 4 and rows[1]["text"] == LINES[0][1]
     assert drop_duplicate_lines(docs.limit(0)).count() == 0
+
+
+def test_lines_that_differ_at_one_place_are_brute_force_by_edit_similarity_alone(spark):
+    import random
+
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines, copies = [], []
+    for i in range(60):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(2 + i % 30)]
+        line = " ".join(words)
+        at = rng.randrange(len(words))
+        allowed = int(0.1 * len(line) + 1e-9)
+        changed = words[at] if len(words[at]) < allowed else ""
+        kinds = [[*words[:at], words[at][:-1] + ("x" if words[at][-1] != "x" else "y"), *words[at + 1 :]]]
+        if changed:
+            kinds += [[*words[:at], *words[at + 1 :]], [*words[:at], changed[::-1] + "q", *words[at + 1 :]]]
+        if allowed:
+            lines.append(line)
+            copies.append(" ".join(kinds[i % len(kinds)]))
+    texts = [*((i, x) for i, x in enumerate(lines)), *((1000 + i, x) for i, x in enumerate(copies)), (2000, "far away from all the others")]
+    every = lines + copies
+    links = [(a, b) for a, b in combinations(range(len(every)), 2) if abs(len(every[a]) - len(every[b])) <= 20 and distance(every[a], every[b]) <= int(0.1 * max(len(every[a]), len(every[b])) + 1e-9)]
+    root = roots(range(len(every)), links)
+    ids = [i for i, _ in texts]
+    expected = {2000} | {ids[x] for x in range(len(every)) if root[x] == x}
+    assert len(expected) == len(lines) + 1
+    assert {r["doc_id"] for r in drop_duplicate_lines(docs_of(spark, texts)).collect()} == expected
