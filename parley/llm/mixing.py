@@ -37,17 +37,19 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
     """cells(dimensions..., tokens) -> the same with weight: sweeps of proportional fitting, one dimension after another.
 
     A dimension's target maps its values to shares; None means equal shares for the values that occur. Values without a
-    target get weight 0; targets of values that do not occur are left out and the others grow in proportion. Null is a
-    value of its own, named "" in a target.
+    target keep the share of tokens that they have, and the named ones share the rest; targets of values that do not
+    occur are left out and the others grow in proportion. Null is a value of its own, named "" in a target.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     out = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     shares = {}
     for dimension, target in targets.items():
         value = F.coalesce(F.col(dimension).cast("string"), F.lit(""))
-        share = F.lit(1.0) if target is None else F.coalesce(*(F.when(value == k, F.lit(float(v))) for k, v in target.items()), F.lit(0.0))
-        present = cells.where("tokens > 0").select(dimension).distinct().agg(F.sum(share)).first()[0] or 1.0
-        shares[dimension] = share / F.lit(float(present))
+        named = F.lit(1.0) if target is None else F.coalesce(*(F.when(value == k, F.lit(float(v))) for k, v in target.items()))
+        own = cells.where("tokens > 0").groupBy(dimension).agg(F.sum("tokens").alias("tokens")).agg(F.sum(named), F.sum(F.when(named.isNull(), F.col("tokens")))).first()
+        left = 1.0 - (own[1] or 0) / total if total else 1.0
+        kept = F.sum("tokens").over(Window.partitionBy(dimension)) / F.lit(float(total or 1))
+        shares[dimension] = F.coalesce(named / F.lit(float(own[0] or 1.0)) * F.lit(left), kept)
     for sweep in range(sweeps):
         for dimension, share in shares.items():
             part = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(dimension))

@@ -85,6 +85,12 @@ def test_mix_edges(spark):
     assert mix(odd.limit(0), MIX_TARGETS).count() == 0
 
 
+def test_values_without_a_target_keep_their_share(spark):
+    cells = spark.createDataFrame([("en", 600), ("de", 200), ("pl", 150), (None, 50)], "lang string, tokens long")
+    got = {r["lang"]: r["weight"] * r["tokens"] / 1000 for r in rake(cells, {"lang": LANGUAGES}).collect()}
+    assert got == pytest.approx({"en": 0.8 * 2 / 3, "de": 0.8 / 3, "pl": 0.15, None: 0.05}, abs=1e-6)
+
+
 # Pipeline
 
 
