@@ -42,10 +42,32 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(docs: DataFrame, most_rows: int) -> list:
+    """(h, text, lang if there is one) of the most_rows rows with the smallest hash of doc_id, or those of them that have a
+    text, in a fixed order. The cutoff comes from ids alone, so that only texts of the sample travel."""
+    h = unused("h", docs)
+    marked = docs.withColumn(h, F.xxhash64("doc_id"))
+    last = marked.select(h).orderBy(h).limit(most_rows).agg(F.max(h)).first()[0]
+    if last is None:
+        return []
+    columns = [F.col(h).alias("h"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang") if c in docs.columns)]
+    # Rows that share the last hash are more than asked for only if a doc_id is repeated.
+    rows = marked.where((F.col(h) <= F.lit(last)) & F.col("text").isNotNull()).select(*columns).limit(2 * most_rows).toLocalIterator()
+    return sorted(rows, key=tuple)[:most_rows]
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like `name` that none of the tables has."""
+    taken = {c.lower() for table in tables for c in table.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts may weigh in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
