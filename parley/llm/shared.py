@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -46,6 +47,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let the cluster drop shuffle files and checkpoints of steps that nothing refers to any more; it does so when the
+    driver collects garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def hash_sample(docs: DataFrame, most_rows: int) -> list:
     """(h, text, lang if there is one) of the most_rows rows with the smallest hash of doc_id, or those of them that have a
     text, in a fixed order. The cutoff comes from ids alone, so that only texts of the sample travel."""
