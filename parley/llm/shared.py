@@ -43,7 +43,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
