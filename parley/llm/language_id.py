@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 The model is trained by follow-the-regularised-leader with elastic-net penalties on a bounded sample of labelled rows,
-then calibrated by one temperature. Document frequencies are counted over all documents; they are a vector of fixed
+then calibrated by one temperature. Document frequencies are counted over all rows it may learn from; they are a vector of fixed
 size. The sample (`most_rows` rows, those with the smallest hash of doc_id) is collected to the driver, which trains in
 a second or so; everything else is one scan of the texts each.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .shared import held_out, small_batches
+from .shared import hash_sample, held_out, small_batches
 
 #: Hashed features: a fixed number, which bounds the model.
 FEATURES = 1 << 14
@@ -160,16 +160,13 @@ def _model(docs: DataFrame, most_rows: int):
     """The broadcast model of docs: classes, weights, temperature and inverse document frequencies."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("text").cast("string"))
-    counted = texts.mapInArrow(_document_frequency, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    # Document frequencies too come from rows that may be learnt from only, all of them.
+    learn = docs.where(~held_out("doc_id") & F.col("lang").isNotNull())
+    counted = learn.select(F.col("text").cast("string")).mapInArrow(_document_frequency, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     n = {r["feature"]: r["n"] for r in counted}
     idf = np.log((1 + n.pop(-1, 0)) / (1 + np.array([n.get(i, 0) for i in range(FEATURES)]))) + 1
-    # The cutoff comes from ids and languages alone, so that only texts of the sample travel.
-    learn = docs.where(~held_out("doc_id") & F.col("lang").isNotNull()).withColumn("_h", F.xxhash64("doc_id"))
-    last = learn.select("_h").orderBy("_h").limit(most_rows).agg(F.max("_h")).first()[0]
-    sample = learn.where((F.col("_h") <= F.lit(last)) & F.col("text").isNotNull()).select("_h", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = sorted((r["_h"], r["text"], r["lang"]) for r in sample.limit(2 * most_rows).toLocalIterator() if has_letter(r["text"])) if last is not None else []
-    return spark.sparkContext.broadcast((*fit([(text, lang) for _, text, lang in rows[:most_rows]], idf), idf))
+    rows = [r for r in hash_sample(learn, most_rows) if has_letter(r["text"])]
+    return spark.sparkContext.broadcast((*fit([(r["text"], r["lang"]) for r in rows], idf), idf))
 
 
 def identify_languages(docs: DataFrame, most_rows: int = 4000) -> DataFrame:
