@@ -3,8 +3,8 @@
 Each class, toxic and ordinary, has its own counts of five-character expressions; below them both share one backoff
 model of Kneser-Ney continuation counts. An expression that neither class has seen is thus smoothed alike in both, and
 what remains is log p(c | context, toxic) - log p(c | context, ordinary) for each character. Counts are gathered over
-all labelled rows that are not held out, by class, and grow with them; the scoring table keeps the expressions that
-tell the classes apart best, in bounded number. A text's log-likelihoods are compared over its whole length and over
+all labelled rows that are not held out, by class, and grow with them. The most frequent of their log ratios, in bounded
+number, are broadcast; texts ask for the others in a join. A text's log-likelihoods are compared over its whole length and over
 its most toxic stretch, both normalised by length; a logistic curve, fitted to rows that no count has seen, turns the
 two into a score.
 """
@@ -23,7 +23,7 @@ from .shared import cut, held_out, small_batches
 
 ORDER, BITS = 5, 12
 DISCOUNT = 0.75
-#: Rows of the scoring table, at most: 16 bytes each.
+#: Log ratios that are broadcast, at most: 16 bytes each. Texts that need more of them get these by a join.
 MOST_ENTRIES = 1_000_000
 #: Labels up to which they are sent to the scan of the texts, about 40 bytes each; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
@@ -93,9 +93,10 @@ def expression_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", F.col("toxic").cast("int")).mapInArrow(_count, "code long, t long, o long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def log_ratios(counts: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
-    """(code, t, o) -> (code, llr): log p(last character | context) under the toxic less the ordinary model, for seen
-    expressions, and for an expression seen in neither class under code -1 - context. The largest `most` by size."""
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(code, t, o) -> (code, llr, n): log p(last character | context) under the toxic less the ordinary model, for seen
+    expressions, and for an expression seen in neither class under code -1 - context; n
+    is how often the expression or context was counted."""
     shared = _continuation(counts)
     last = F.col("code").bitwiseAND(int(_MASK))
     context = F.shiftright("code", BITS)
@@ -111,9 +112,9 @@ def log_ratios(counts: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
 
     lower = counts.select("code", "t", "o", context.alias("context"), (F.col("code").bitwiseAND((1 << BITS * (ORDER - 1)) - 1)).alias("suffix"), last.alias("last"))
     full = lower.join(by_context, "context").join(shared, "suffix")
-    known = full.select("code", (F.log(seen("t") + weight("t") * F.col("p")) - F.log(seen("o") + weight("o") * F.col("p"))).alias("llr"))
-    unknown = by_context.select((-1 - F.col("context")).alias("code"), (F.log(weight("t")) - F.log(weight("o"))).alias("llr"))
-    return known.union(unknown).orderBy(F.desc(F.abs("llr")), "code").limit(most)
+    known = full.select("code", (F.log(seen("t") + weight("t") * F.col("p")) - F.log(seen("o") + weight("o") * F.col("p"))).alias("llr"), (F.col("t") + F.col("o")).alias("n"))
+    unknown = by_context.select((-1 - F.col("context")).alias("code"), (F.log(weight("t")) - F.log(weight("o"))).alias("llr"), (F.col("n_t") + F.col("n_o")).alias("n"))
+    return known.union(unknown)
 
 
 def _continuation(counts: DataFrame) -> DataFrame:
@@ -175,12 +176,29 @@ class Lookup:
         return value, hit
 
 
-def features(packed: np.ndarray, first: np.ndarray, table: Lookup) -> np.ndarray:
-    """For each text the mean log ratio of all its characters, and that of its most toxic stretch (0, 0 if empty)."""
+def _look_up(packed: np.ndarray, first: np.ndarray, value: np.ndarray, hit: np.ndarray, more: list) -> None:
+    """Fill in what was not hit from each text's own (sorted codes, log ratios)."""
+    for i, own in enumerate(more):
+        at = first[i] + np.flatnonzero(~hit[first[i] : first[i + 1]])
+        if own is None or not len(at):
+            continue
+        place = np.minimum(np.searchsorted(own[0], packed[at]), len(own[0]) - 1)
+        same = own[0][place] == packed[at]
+        value[at[same]], hit[at[same]] = own[1][place[same]], True
+
+
+def features(packed: np.ndarray, first: np.ndarray, table: Lookup, more: list | None = None) -> np.ndarray:
+    """For each text the mean log ratio of all its characters, and that of its most toxic stretch (0, 0 if empty).
+    more: for each text the log ratios that it has besides those of the table, or None."""
     value, hit = table.find(packed)
-    missed = np.flatnonzero(~hit)
-    if len(missed):
-        value[missed] = table.find(-1 - (packed[missed] >> np.int64(BITS)))[0]
+    if more:
+        _look_up(packed, first, value, hit, more)
+    if not hit.all():
+        context = -1 - (packed >> np.int64(BITS))
+        missed = np.flatnonzero(~hit)
+        value[missed], hit[missed] = table.find(context[missed])
+        if more:
+            _look_up(context, first, value, hit, more)
     total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
     n = len(first) - 1
     out = np.zeros((n, 2))
@@ -199,12 +217,48 @@ def features(packed: np.ndarray, first: np.ndarray, table: Lookup) -> np.ndarray
 def _features(shared):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.slices(batches):
-            found = features(*codes(*arrays.text_bytes(batch.column(1))), shared.value)
+            more = None
+            if batch.num_columns > 2:
+                pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                more = [(np.array(c, np.int64), np.array(v, np.float32)) if c else None for c, v in pairs]
+            found = features(*codes(*arrays.text_bytes(batch.column(1))), shared.value, more)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "mean", "stretch"])
 
     return each
 
 
+def _missing(shared):
+    """(k1, k2, text) -> k1, k2, code: what each text asks for and the table doesn't have."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.slices(batches):
+            packed, first = codes(*arrays.text_bytes(batch.column(2)))
+            missed = np.flatnonzero(~shared.value.find(packed)[1])
+            row = np.searchsorted(first, missed, side="right") - 1
+            asked = np.concatenate([packed[missed], -1 - (packed[missed] >> np.int64(BITS))])
+            row = np.concatenate([row, row])
+            order = np.lexsort([asked, row])
+            row, asked = row[order], asked[order]
+            keep = ~shared.value.find(asked)[1]
+            keep[1:] &= (row[1:] != row[:-1]) | (asked[1:] != asked[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), batch.column(1).take(pa.array(row[keep])), pa.array(asked[keep], pa.int64())], names=["k1", "k2", "code"])
+
+    return each
+
+
+def _scanned(texts: DataFrame, shared, rest: DataFrame | None) -> DataFrame:
+    """texts(doc_id, text) -> doc_id, mean, stretch; rest: the log ratios that are not broadcast."""
+    schema = "doc_id long, mean double, stretch double"
+    if rest is None:
+        return texts.mapInArrow(_features(shared), schema)
+    keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("2"), "text").alias("k2"))
+    missing = keyed.select("k1", "k2", "text").mapInArrow(_missing(shared), "k1 long, k2 long, code long").distinct()
+    # Copies of a text ask once; a text's list is no longer than the text.
+    lists = missing.join(rest, "code").groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("code", "llr"))).alias("more"))
+    found = keyed.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "more.code", "more.llr")
+    return found.mapInArrow(_features(shared), schema)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Newton steps for a logistic curve over standardised columns; weights with the constant last, means, deviations."""
     mean, deviation = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
@@ -227,7 +281,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_ca
 
     Labels are learnt only from rows whose crc32 of doc_id as text, mod 3, is not 1. Of these, four in five (by another
     hash of doc_id) give the counts, all of them; of the rest, at most most_calibration rows, those with the smallest
-    hash, fit the logistic curve. Labels are no input of a score. Null and empty texts get the score of log ratios 0.
+    hash, fit the logistic curve. most_entries bounds what is broadcast; scores do not depend on it. Labels are no input of a score. Null and empty texts get the score of log ratios 0.
     Null or repeated labels, and labels without a document: a document counts as toxic if any of its labels is 1,
     and does not teach if all are null. Without both classes among the taught rows every score is the share of toxic
     ones (0.5 without any). A null doc_id counts as held out. Repeated rows are scored each; further columns are
@@ -243,11 +297,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_ca
     few = taught.count() <= MOST_BROADCAST
     lesson = taught.where(~curve).select("doc_id", "toxic")
     counts = cut(expression_counts(texts.join(F.broadcast(lesson) if few else lesson, "doc_id").select("text", "toxic")))
-    table = log_ratios(counts, most_entries).toPandas()
+    ratios = log_ratios(counts)
+    rest = None
+    if counts.count() > most_entries // 2:
+        ratios = cut(ratios)
+        if ratios.count() > most_entries:
+            # The cutoff in n leaves out all that share it, so the tiers are apart without a join.
+            least = ratios.select("n").orderBy(F.desc("n")).limit(most_entries).agg(F.min("n")).first()[0]
+            rest = ratios.where(F.col("n") <= least).select("code", "llr")
+            ratios = ratios.where(F.col("n") > least)
+    table = ratios.select("code", "llr").toPandas()
     shared = spark.sparkContext.broadcast(Lookup(table["code"].to_numpy(np.int64), table["llr"].to_numpy(np.float64)))
-    found = texts.mapInArrow(_features(shared), "doc_id long, mean double, stretch double")
+    found = _scanned(texts, shared, rest)
     fit_on = cut(taught.where(curve).orderBy("h").limit(most_calibration).select("doc_id", "toxic"))
-    rows = texts.join(F.broadcast(fit_on), "doc_id").select("doc_id", "text").mapInArrow(_features(shared), "doc_id long, mean double, stretch double").join(fit_on, "doc_id").select("mean", "stretch", "toxic").toPandas()
+    rows = _scanned(texts.join(F.broadcast(fit_on), "doc_id").select("doc_id", "text"), shared, rest).join(fit_on, "doc_id").select("mean", "stretch", "toxic").toPandas()
     y = rows["toxic"].to_numpy(np.float64)
     if len(set(y)) == 2:
         order = np.lexsort((rows["stretch"], rows["mean"]))
