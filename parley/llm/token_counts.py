@@ -1,7 +1,7 @@
-"""Token counts by a map-side two-tier lookup; no pre-token is ever shuffled by its text for counting.
+"""Token counts by a map-side two-tier lookup; no pre-token is ever shuffled.
 
-Tier one is a compact table (hash, length) of the most frequent pre-tokens of all documents, of bounded size, broadcast
-to the workers. What misses it goes to a cache that each worker keeps and fills with the tokenizer itself. Pre-tokens
+Tier one is a compact table of the most frequent pre-tokens of a bounded sample of the documents, broadcast to the
+workers; it decides how fast a count is, not what it is. A pre-token is looked up by one hash and verified by another. What misses it goes to a cache that each worker keeps and fills with the tokenizer itself. Pre-tokens
 are cut with array operations over code points, by the byte-level pattern
 `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`.
 """
@@ -21,18 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .shared import small_batches
+from .shared import hash_sample, small_batches
 
-#: Entries of tier one: at most 9 bytes each, in memory and in the broadcast.
+#: Entries of tier one: at most 17 bytes each, in memory and in the broadcast.
 FREQUENT = 50_000
-#: Distinct pre-tokens a slice of text offers for tier one, and entries a worker's cache may hold.
-OFFERED, CACHED = 4096, 400_000
+#: Documents of the sample for tier one, characters of each that it looks at, and entries a worker's cache may hold.
+SAMPLE, LOOKED_AT, CACHED = 4_000, 4_000, 400_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: White space of the pattern (fixed values).
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _tables: dict[str, np.ndarray] = {}
-_cache: dict[str, dict[int, int]] = {}
+_cache: dict[str, dict[int, tuple[int, int]]] = {}
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -46,15 +46,15 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return _tables["kinds"], _tables["values"]
 
 
-def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts as one string, the start of each pre-token in it, each one's hash, and each text's first pre-token."""
+def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one string, the start of each pre-token in it, each one's two hashes, and each text's first pre-token."""
     kinds, values = _classes()
     text = data.tobytes().decode("utf-8")
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     n = len(points)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     if not n:
-        return text, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return text, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     kind = kinds[points]
     first = np.zeros(n + 1, bool)
     first[heads] = True
@@ -84,11 +84,17 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, n
     starts = np.flatnonzero(start)
     lengths = np.diff(np.append(starts, n))
     place = np.arange(n) - np.repeat(starts, lengths)
-    value = values[points] * arrays._PLACE[place & 63]
+    hashes, checks = _hashes(values[points], place, starts, lengths)
+    return text, starts, hashes, checks, np.searchsorted(starts, heads)
+
+
+def _hashes(value: np.ndarray, place: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of characters, each of another sum over them."""
+    placed = value * arrays._PLACE[place & 63]
     if lengths.max() > 64:
-        value *= arrays._FAR[(place >> 6) & 63] * (np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1))
-    hashes = arrays.mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
-    return text, starts, hashes, np.searchsorted(starts, heads)
+        placed *= arrays._FAR[(place >> 6) & 63] * (np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1))
+    sums = [np.add.reduceat(x, starts) + lengths.astype(np.uint64) for x in (placed, placed ^ (placed >> np.uint64(29)))]
+    return arrays.mix(sums[0]), sums[1]
 
 
 def _specials(vocabulary: str) -> re.Pattern | None:
@@ -111,34 +117,28 @@ def _segments(column: pa.Array, special: re.Pattern | None) -> tuple[np.ndarray,
     return data, offsets, rows, extra
 
 
-def _offer(special_of: str):
-    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = _specials(special_of)
-        for batch in arrays.slices(batches):
-            data, offsets, _, _ = _segments(batch.column(1), special)
-            text, starts, hashes, _ = pretokens(data, offsets)
-            _, at, count = np.unique(hashes, return_index=True, return_counts=True)
-            often = np.flatnonzero(count > 1)
-            often = often[np.argsort(-count[often], kind="stable")[:OFFERED]]
-            ends = np.append(starts[1:], len(text))
-            words = [text[starts[i] : ends[i]] for i in at[often].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(count[often], pa.int64())], names=["word", "n"])
+def hashes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that pretokens() gives these strings, each taken as one pre-token."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(w) for w in words], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    return _hashes(_classes()[1][points], np.arange(len(points)) - np.repeat(starts, lengths), starts, lengths)
 
-    return offer
 
+def frequent_pretokens(texts: list[str], vocabulary: str, most: int) -> list[str]:
+    """The pre-tokens that stand in the texts more than once, the most frequent first, `most` of them."""
+    found: Counter = Counter()
+    for at in range(0, len(texts), 256):
+        data, offsets, _, _ = _segments(pa.array([t[:LOOKED_AT] for t in texts[at : at + 256]], pa.large_string()), _specials(vocabulary))
+        text, starts, *_ = pretokens(data, offsets)
+        bounds = [*starts.tolist(), len(text)]
+        found.update(text[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
+    return [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1]
 
-def hash_of(words: list[str]) -> np.ndarray:
-    """The hashes that pretokens() gives these strings, each taken as one pre-token."""
-    kinds_values = _classes()[1]
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        points = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-        place = np.arange(len(points))
-        value = kinds_values[points] * arrays._PLACE[place & 63]
-        if len(points) > 64:
-            value *= arrays._FAR[(place >> 6) & 63] * (np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1))
-        out[i] = value.sum() + np.uint64(len(points))
-    return arrays.mix(out)
+
+def _encoded(tokenizer, text: str, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    parts = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [len(x.ids) for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 def _count(vocabulary, table):
@@ -148,30 +148,35 @@ def _count(vocabulary, table):
 
         tokenizer = Tokenizer.from_str(vocabulary.value)
         special = _specials(vocabulary.value)
-        known, length = table.value
+        known, known_check, length = table.value
         cache = _cache.setdefault(str(hash(vocabulary.value)), {})
         for batch in arrays.slices(batches):
             data, offsets, rows, extra = _segments(batch.column(1), special)
-            text, starts, hashes, heads = pretokens(data, offsets)
+            text, starts, hashes, checks, heads = pretokens(data, offsets)
+            ends = np.append(starts[1:], len(text))
             sizes = np.zeros(len(hashes), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                sizes = np.where(known[at] == hashes, length[at], 0).astype(np.int64)
+                sizes = np.where((known[at] == hashes) & (known_check[at] == checks), length[at], 0).astype(np.int64)
             missed = np.flatnonzero(sizes == 0)
             if len(missed):
                 distinct, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
-                keys = distinct.tolist()
-                found = [cache.get(h, 0) for h in keys]
+                keys, proofs = distinct.tolist(), checks[missed[at]].tolist()
+                cached = [cache.get(h, (0, 0)) for h in keys]
+                found = [size if check == proof else 0 for (check, size), proof in zip(cached, proofs, strict=True)]
                 new = [i for i, size in enumerate(found) if not size]
                 if new:
-                    ends = np.append(starts[1:], len(text))
                     spots = missed[at[new]]
-                    texts = [text[a:b] for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
                     if len(cache) + len(new) > CACHED:
                         cache.clear()
-                    for i, coded in zip(new, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                        found[i] = cache[keys[i]] = len(coded.ids)
+                    for i, size in zip(new, _encoded(tokenizer, text, starts[spots], ends[spots]), strict=True):
+                        found[i] = size
+                        cache[keys[i]] = (proofs[i], size)
                 sizes[missed] = np.array(found, np.int64)[back]
+                # Other pre-tokens of the same first hash, if ever.
+                odd = missed[checks[missed] != np.array(proofs, np.uint64)[back]]
+                if len(odd):
+                    sizes[odd] = _encoded(tokenizer, text, starts[odd], ends[odd])
             total = np.concatenate([[0], np.cumsum(sizes)])
             of_segment = total[heads[1:]] - total[heads[:-1]]
             tokens = np.bincount(rows, weights=of_segment, minlength=batch.num_rows).astype(np.int64) + extra
@@ -180,7 +185,7 @@ def _count(vocabulary, table):
     return count
 
 
-def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, frequent: int = FREQUENT) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), one row per input row.
 
     Counts equal those of the `tokenizers` library for the byte-level BPE file at vocabulary_path, without begin or end
@@ -196,20 +201,11 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, freque
         vocabulary = file.read()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    specials_only = json.dumps({"added_tokens": json.loads(vocabulary).get("added_tokens", [])})
-    offered = rows.select("doc_id", "text").mapInArrow(_offer(specials_only), "word string, n long")
-    top = offered.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent).collect()
-    words = [r["word"] for r in top]
+    words = frequent_pretokens([r["text"] for r in hash_sample(docs.select("doc_id", "text"), sample)], vocabulary, frequent)
     sizes = np.array([len(c.ids) for c in Tokenizer.from_str(vocabulary).encode_batch_fast(words, add_special_tokens=False)], np.int64)
-    hashes = hash_of(words)
+    hashes, checks = hashes_of(words) if words else (np.zeros(0, np.uint64),) * 2
     order = np.argsort(hashes)
     fits = order[sizes[order] < 256]
-    table = spark.sparkContext.broadcast((hashes[fits], sizes[fits].astype(np.uint8)))
+    table = spark.sparkContext.broadcast((hashes[fits], checks[fits], sizes[fits].astype(np.uint8)))
     counted = rows.mapInArrow(_count(spark.sparkContext.broadcast(vocabulary), table), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
-
-
-def frequent_pretokens(docs: DataFrame) -> Counter:
-    """For tests: the pre-tokens that tier one would be made of, with their counts."""
-    small_batches(docs.sparkSession)
-    return Counter({r["word"]: r["n"] for r in docs.select("doc_id", "text").mapInArrow(_offer("{}"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()})
