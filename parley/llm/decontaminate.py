@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_words
+from .shared import alnum_words, unused
 
 #: Windows up to which the set is sent to every task: some MB.
 MOST_BROADCAST = 200_000
@@ -92,14 +92,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
     characters before them out of its text (n_chars, if there is one, follows). Rows that share a doc_id share the fate
     of the one that is hit. Edge cases are those of contamination().
     """
-    found = contamination(docs, benchmark, n).where("contaminated and doc_id is not null").groupBy("doc_id").agg(F.first("spans").alias("_spans"))
+    spans = unused("spans", docs)
+    found = contamination(docs, benchmark, n).where("contaminated and doc_id is not null").groupBy("doc_id").agg(F.first("spans").alias(spans))
     if action == "document":
         return docs.join(found, "doc_id", "left_anti").select(docs.columns)
     kept = F.filter(
         F.regexp_extract_all("text", F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1)),
-        lambda piece, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"])),
+        lambda piece, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["start"] + s["size"])),
     )
-    cut = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "")))
+    cut = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(kept, "")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        cut = cut.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return cut.select(docs.columns)
