@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_chats
+from .chat import chat_messages, format_chats
 from .decontaminate import contamination
 from .language_id import identify_languages
 from .licenses import license_scan
@@ -95,6 +95,34 @@ from j group by conv_id, part
 """
 
 
+def tool_call_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats made of orders, one a customer: each order is a call of a tool and its result, which stands before its call
+    if the order is finished; the arguments of urgent ones have a wrong type."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("conv_id"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    key = F.col("o_orderkey").cast("string")
+    limit = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit('"many"')).otherwise((F.col("o_orderkey") % 100).cast("string"))
+    call = F.concat(F.lit('{"tool_calls":[{"id":"c'), key, F.lit('","name":"search","arguments":{"query":"'), "o_orderpriority", F.lit('","limit":'), limit, F.lit("}}]}"))
+    result = F.concat(F.lit('{"tool_call_id":"c'), key, F.lit('","content":"found"}'))
+    turn = 3 * F.col("o_orderkey").cast("long")
+    early = F.when(F.col("o_orderstatus") == "F", -2).otherwise(1)
+    turns = F.array(*(F.struct(t.alias("turn"), F.lit(role).alias("role"), text.alias("text")) for t, role, text in ((turn, "assistant", call), (turn + early, "tool", result))))
+    messages = chat_messages(orders.select("conv_id", F.explode(turns).alias("t")).select("conv_id", "t.*"))
+    return messages.select("conv_id", "turn", "place", F.col("depth").cast("int"), "moved", "role", "n_calls", "n_invalid", "is_result", "linked", "json")
+
+
+TOOL_CALL_SQL = """
+with o as (select distinct o_custkey, o_orderkey, o_orderstatus = 'F' as early, o_orderpriority = '1-URGENT' as wrong, o_orderpriority from orders)
+select o_custkey as conv_id, 3 * o_orderkey::bigint as turn, 3 * o_orderkey::bigint as place, 0::int as depth, false as moved, 'assistant' as role,
+       1::bigint as n_calls, (case when wrong then 1 else 0 end)::bigint as n_invalid, false as is_result, false as linked,
+       '{"content":"","role":"assistant","tool_calls":[{"arguments":{"limit":' || (case when wrong then '"many"' else (o_orderkey % 100)::varchar end)
+       || ',"query":"' || o_orderpriority || '"},"id":"c' || o_orderkey || '","name":"search"}]}' as json from o
+union all
+select o_custkey, 3 * o_orderkey::bigint + (case when early then -2 else 1 end), 3 * o_orderkey::bigint + (case when early then 0 else 1 end),
+       (case when early then 1 else 0 end)::int, early, 'tool', 0, 0, true, true,
+       '{"content":"found","role":"tool","tool_call_id":"c' || o_orderkey || '"}' from o
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers
 
@@ -110,16 +138,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
-def _mix_sql(sweeps: int = 12) -> str:
+def _mix_sql(sweeps: int = 12, rate: float = 0.5) -> str:
     given = {"source": "1.0::double", "lang": _case("lang", LANGUAGES), "topic": _case("topic", TOPICS)}
     steps, last = [], "c0"
+    total = "(select sum(tokens) from cells)::double"
+    shares = {}
+    for d, named in given.items():
+        present = f"(select sum(s) from (select distinct {d}, {named} as s from cells where tokens > 0))"
+        rest = f"(1 - coalesce((select sum(tokens) from cells where {named} is null), 0) / {total})"
+        shares[d] = f"coalesce({named} / {present} * {rest}, sum(tokens) over (partition by {d}) / {total})"
     for sweep in range(sweeps):
-        for i, (d, share) in enumerate(given.items()):
+        for i, d in enumerate(given):
             name = f"c{3 * sweep + i + 1}"
-            total = "(select sum(tokens) from cells)::double"
-            present = f"(select sum(s) from (select distinct {d}, {share} as s from cells where tokens > 0))"
             part = f"sum(w * tokens) over (partition by {d})"
-            steps.append(f"{name} as materialized (select source, lang, topic, tokens, case when {part} > 0 then w * ({share} / {present}) * {total} / {part} else 0 end as w from {last})")
+            steps.append(f"{name} as materialized (select source, lang, topic, tokens, case when {part} > 0 then w * {shares[d]} * {total} / {part} else 0 end as w from {last})")
             last = name
     return f"""
 with d as (select doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+'))::bigint as n_tokens from documents),
@@ -127,7 +159,7 @@ t as (select *, case when n_tokens < 150 then 'brief' when n_tokens < 600 then '
 cells as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens from t group by all),
 c0 as (select *, case when tokens > 0 then 1.0::double else 0.0::double end as w from cells),
 {", ".join(steps)},
-p as (select source, lang, topic, w, w / (select max(w) from {last}) as p from {last})
+p as (select source, lang, topic, w, least(1.0::double, {rate}::double * w) as p from {last})
 select doc_id, t.source, t.lang, t.topic, n_tokens, round(w, 6) as weight, round(p, 6) as probability,
        ('0x' || substr(md5('mix-' || doc_id), 1, 8))::bigint / 4294967296.0::double < p as sampled
 from t join p on t.source is not distinct from p.source and t.lang is not distinct from p.lang and t.topic = p.topic
@@ -135,7 +167,7 @@ from t join p on t.source is not distinct from p.source and t.lang is not distin
 
 
 def _case(column: str, shares: dict[str, float]) -> str:
-    return f"case {column} " + " ".join(f"when '{k}' then {v}::double" for k, v in shares.items()) + " else 0.0::double end"
+    return f"case {column} " + " ".join(f"when '{k}' then {v}::double" for k, v in shares.items()) + " end"
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_top_k": op6_top_k,
         "op7_chat_format": op7_chat_format,
+        "tool_call_chats": tool_call_chats,
         "op8_token_counts": op8_token_counts,
         "op9_mixing": op9_mixing,
         "op10_license_scan": op10_license_scan,
@@ -158,4 +191,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_top_k": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_mixing": _mix_sql()}
+    return {"op1_decontaminate": OP1_SQL, "op6_top_k": OP6_SQL, "op7_chat_format": OP7_SQL, "tool_call_chats": TOOL_CALL_SQL, "op9_mixing": _mix_sql()}

@@ -56,6 +56,15 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(docs.limit(0), odd).count() == 0
 
 
+def test_scores_do_not_depend_on_what_is_broadcast(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").union(docs.limit(5).select("doc_id", "text")).union(spark.createDataFrame([(900_001, None), (900_002, ""), (900_003, "zzqx " * 3000)], "doc_id long, text string"))
+    whole, parts = (sorted(map(tuple, toxicity.toxicity(docs, labels, most_entries=n).collect())) for n in (10**6, 2000))
+    # Sums depend on what texts share a batch, in the last digits.
+    whole, parts = ([(i, h, round(x, 9), p) for i, h, x, p in rows] for rows in (whole, parts))
+    assert whole == parts and len({r[2] for r in whole}) > 50
+
+
 def test_log_ratios_are_kneser_ney(spark):
     texts = [("you are a bad bad thing", 1), ("a good day to all of you", 0), ("bad days are good days", 0)]
     counts = toxicity.expression_counts(spark.createDataFrame(texts, "text string, toxic int")).toPandas()
@@ -78,7 +87,7 @@ def test_log_ratios_are_kneser_ney(spark):
         p, total = backoff(4, code & ((1 << bits * 4) - 1)), sum(same.values())
         return np.log(max(same.get(code, 0) - discount, 0) / total + discount * len(same) / total * p if total else p)
 
-    found = {r["code"]: r["llr"] for r in toxicity.log_ratios(spark.createDataFrame(counts), 10**6).collect()}
+    found = {r["code"]: r["llr"] for r in toxicity.log_ratios(spark.createDataFrame(counts)).collect()}
     assert {c for c in found if c >= 0} == {r["code"] for r in rows}
     assert {c: v for c, v in found.items() if c >= 0} == pytest.approx({r["code"]: log_p(r["code"], "t") - log_p(r["code"], "o") for r in rows})
 
@@ -203,3 +212,54 @@ def test_license_edges(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.compile_template("[[only optional]] <<3>>")
+
+
+def test_held_out_texts_teach_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    F = language_id.F
+    held = language_id.held_out("doc_id")
+    other = docs.withColumn("text", F.when(held | F.col("lang").isNull(), F.lit("qqq xxx jjj " * 50)).otherwise(F.col("text")))
+    one, two = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(x).where("not held_out").join(docs.where("lang is not null").select("doc_id"), "doc_id", "left_semi").collect()} for x in (docs, other))
+    assert one == two and len(one) > 100
+
+
+def test_ftrl_is_brute_force():
+    import math
+
+    rows = [("aa bb", 0), ("cc dd", 1), ("aa dd", 0), ("cc bb", 1)] * 3
+    idf = language_id.np.ones(language_id.FEATURES)
+    model = language_id.Ftrl(2)
+    z, n = ({}, {}), ({}, {})
+
+    def weight(k, i):
+        zi, ni = z[k].get(i, 0.0), n[k].get(i, 0.0)
+        return 0.0 if abs(zi) <= model.l1 else -(zi - math.copysign(model.l1, zi)) / ((model.beta + math.sqrt(ni)) / model.alpha + model.l2)
+
+    for text, label in rows:
+        at, value = language_id.vector(text, idf)
+        model.learn(at, value, label)
+        logits = [sum(weight(k, i) * x for i, x in zip(at.tolist(), value.tolist(), strict=True)) for k in range(2)]
+        top = max(logits)
+        e = [math.exp(x - top) for x in logits]
+        for k in range(2):
+            old = {i: weight(k, i) for i in at.tolist()}
+            for i, x in zip(at.tolist(), value.tolist(), strict=True):
+                g = (e[k] / sum(e) - (k == label)) * x
+                before = n[k].get(i, 0.0)
+                z[k][i] = z[k].get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / model.alpha * old[i]
+                n[k][i] = before + g * g
+    weights = model.weights()
+    for k in range(2):
+        for i in n[k]:
+            assert abs(float(weights[i, k]) - weight(k, i)) < 1e-6
+
+
+def test_hashes_of_pretokens():
+    import pyarrow as pa
+
+    texts = ["It's a  test, isn't it? " + "x" * 70 + " 12 34é\n\n ok", "", "y"]
+    data, offsets = token_counts.arrays.text_bytes(pa.array(texts, pa.large_string()))
+    text, starts, hashes, checks, heads = token_counts.pretokens(data, offsets)
+    bounds = [*starts.tolist(), len(text)]
+    again = token_counts.hashes_of([text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+    assert (hashes == again[0]).all() and (checks == again[1]).all() and heads.tolist()[-1] == len(starts)
