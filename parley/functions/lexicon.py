@@ -45,9 +45,18 @@ POLITENESS = [
     r"\bhave a (?:nice|great|good) day\b",
 ]
 #: Single words.
-NEGATIVE_WORDS = "malo mala peor problema problemas error falla fallo demora demoras lento lenta nunca jamas tarde molestia queja bad worse problem issue broken slow never late wrong fail failed".split()
-POSITIVE_WORDS = "bien bueno buena gracias claro correcto listo rapido rapida amable excelente good great thanks thank clear fast nice helpful right okay".split()
-NEGATORS = "no nunca jamas ni sin not never n't cannot dont didnt doesnt wasnt".split()
+NEGATIVE_WORDS = [
+    "malo", "mala", "peor", "problema", "problemas", "error", "falla", "fallo", "demora", "demoras", "lento", "lenta",
+    "nunca", "jamas", "tarde", "molestia", "queja", "bad", "worse", "problem", "issue", "broken", "slow", "never",
+    "late", "wrong", "fail", "failed",
+]
+POSITIVE_WORDS = [
+    "bien", "bueno", "buena", "gracias", "claro", "correcto", "listo", "rapido", "rapida", "amable", "excelente",
+    "good", "great", "thanks", "thank", "clear", "fast", "nice", "helpful", "right", "okay",
+]
+NEGATORS = [
+    "no", "nunca", "jamas", "ni", "sin", "not", "never", "n't", "cannot", "dont", "didnt", "doesnt", "wasnt",
+]
 
 #: Parts of the rules for personal data.
 NAME = r"[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+"
@@ -66,3 +75,5 @@ PII_RULES = [
     ("PERSON", rf"\b(?i:se[nñ]or(?:a|ita)?|sr\.?|sra\.?|srta\.?|don|do[nñ]a|mr\.?|mrs\.?|ms\.?|dr\.?|dra\.?)\s+({NAME}(?:\s+{NAME}){{0,2}})", True),
 ]
 PLACEHOLDERS = {"PERSON": "[PERSONA]", "PHONE": "[TELEFONO]", "EMAIL": "[CORREO]", "ID": "[DOCUMENTO]", "ADDRESS": "[DIRECCION]", "ACCOUNT": "[CUENTA]"}
+#: What a text must have, one at least, for any of the rules to match.
+PII_MARKS = rf"\p{{Nd}}|@|\b(?:arroba|at|dni|cedula|cédula|cc|curp|rfc|nif|nie|pasaporte|passport|ssn|documento|{WORD_NUMBER}|me llamo|mi nombre es|soy|habla|mi apellido es|my name is|this is|i am|i'm|se[nñ]or|se[nñ]ora|se[nñ]orita|sr|sra|srta|don|do[nñ]a|mr|mrs|ms|dr|dra)\b"

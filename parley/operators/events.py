@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, LABELS, VALENCE
+from ..sources.tables import written
 from .joins import asof_interpolate, nearest
 from .satisfaction import components, dot, frustration_index, tension_index
 from .series import hot_runs, peaks
-from .windows import debounce, mean_shift, rise_and_fall, smooth
+from .windows import debounce, mean_shift, rise_and_fall, smooth_all
 
 _E = DEFAULTS["events"]
 KEYS = ["call_id", "speaker"]
@@ -19,12 +20,13 @@ SMOOTH, APART = 10, 120.0
 
 
 def indices(cells: DataFrame) -> DataFrame:
-    """cells (at least five a speaker) with frustration, tension, anger, positive and local confidence, smoothed, and v."""
-    order, whole = Window.partitionBy(*KEYS).orderBy("t"), Window.partitionBy(*KEYS)
-    c = cells.withColumn("_n", F.count(F.lit(1)).over(whole)).where("_n >= 5").drop("_n")
+    """cells (at least five a speaker) with frustration, tension, anger, positive and local confidence, smoothed, and v.
+
+    Written to the shared folder, as every kind of event begins with it."""
+    c = cells.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("_n >= 5").drop("_n")
     values = {"frustration": frustration_index(), "tension_i": tension_index(), "anger": F.col("p")[LABELS.index("angry")], "positive": F.col("p")[LABELS.index("happy")], "local": F.col("conf")}
-    c = c.withColumns(values).withColumn("v", dot(F.col("p"), VALENCE))
-    return c.withColumns({k: smooth(k, order, whole, SMOOTH) for k in values})
+    c = c.withColumns(values).withColumn("v", dot(F.col("p"), VALENCE)).select(*KEYS, "t", "v", *values)
+    return written(smooth_all(c, KEYS, "t", list(values), SMOOTH))
 
 
 def emotion_peaks(found: DataFrame) -> DataFrame:
@@ -41,7 +43,9 @@ def emotion_peaks(found: DataFrame) -> DataFrame:
 def shifts(found: DataFrame, width: int = 30) -> DataFrame:
     """indices() -> emotional_shift events: the mean valence of the next `width` cells differs from that of the last."""
     order = Window.partitionBy(*KEYS).orderBy("t")
-    moved = found.withColumn("d", F.abs(mean_shift("v", order, width)))
+    # Series of fewer than 2 * width + 1 cells are too short for a shift.
+    long = F.count(F.lit(1)).over(Window.partitionBy(*KEYS)) > 2 * width
+    moved = found.withColumn("_long", long).where("_long").drop("_long").withColumn("d", F.abs(mean_shift("v", order, width)))
     top = debounce(peaks(moved, KEYS, "t", "d", _E["shift"], int(_E["separation"])), KEYS, "t", "d", _E["separation"])
     size = F.least(F.lit(1.0), F.col("d"))
     return top.join(found.select(*KEYS, "t", "local"), [*KEYS, "t"]).select(*KEYS, "t", F.col("t").alias("t_end"), F.lit("emotional_shift").alias("type"), size.alias("severity"), (0.5 * size + 0.5 * F.col("local")).alias("confidence"))
@@ -96,8 +100,52 @@ def conflicts(found: DataFrame, overlaps: DataFrame, step: int = 2, near: float
     return out.select("call_id", F.lit(None).cast("string").alias("speaker"), F.col("first_s").alias("t"), F.col("last_s").alias("t_end"), F.lit("possible_conflict").alias("type"), severity.alias("severity"), (0.4 + 0.4 * F.col("v")).alias("confidence"))
 
 
-def critical_events(cells: DataFrame, timeline: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """All events that are confident enough, with the emotion of the nearest cell and the satisfaction at their time."""
+#: What each kind of event says, and the kinds whose evidence is frustration rather than strong feeling.
+DESCRIPTIONS = {
+    "frustration_peak": "frustration is at its height",
+    "anger_peak": "anger is at its height",
+    "positive_peak": "good mood is at its height",
+    "emotional_shift": "the mood of the next half minute differs from that of the last",
+    "recovery": "satisfaction has risen",
+    "deterioration": "satisfaction has fallen",
+    "satisfaction_jump": "satisfaction changes at once",
+    "positive_ending": "the speaker ends in a good mood",
+    "negative_ending": "the speaker ends in a bad mood",
+    "possible_conflict": "both speakers are tense at once",
+}
+_BY_FRUSTRATION = ["frustration_peak", "anger_peak", "possible_conflict"]
+
+
+def evidence(events: DataFrame, utterances: DataFrame, near: float = 20.0, most: int = 2, least: float = 0.05) -> DataFrame:
+    """events(call_id, speaker, t, type, ...) with `evidence`: up to `most` utterances of the speaker (of either one if
+    the event has none) whose middle is at most `near` seconds away or that contain t, by frustration for some kinds and
+    by the size of their text score for the others, the largest first; those up to `least` are left out.
+
+    utterances: call_id, speaker, turn, text, start_ms, end_ms, text_score, text_frust. Both sides meet by call and minute.
+    """
+    rows = events.withColumn("_event", F.struct(*(c for c in ("speaker", "t", "type") if c in events.columns)))
+    u = utterances.withColumn("_c", (F.col("start_ms") + F.col("end_ms")) / 2000.0)
+    first = F.floor(F.least(F.col("start_ms") / 1000.0, F.col("_c") - near) / 60)
+    last = F.floor(F.greatest(F.col("end_ms") / 1000.0, F.col("_c") + near) / 60)
+    u = u.select("call_id", F.col("speaker").alias("_who"), "turn", "text", "start_ms", "end_ms", "text_score", "text_frust", "_c", F.explode(F.sequence(first, last)).alias("_m"))
+    met = rows.select("call_id", "_event", F.floor(F.col("t") / 60).alias("_m")).join(u, ["call_id", "_m"])
+    t = F.col("_event.t")
+    inside = (F.abs(F.col("_c") - t) <= near) | t.between(F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0)
+    met = met.where(inside & (F.col("_event.speaker").isNull() | (F.col("_event.speaker") == F.col("_who"))))
+    weight = F.when(F.col("_event.type").isin(_BY_FRUSTRATION), F.col("text_frust")).otherwise(F.abs("text_score"))
+    met = met.withColumn("_w", F.coalesce(weight, F.lit(0.0))).where(F.col("_w") > least)
+    place = F.row_number().over(Window.partitionBy("call_id", "_event").orderBy(F.desc("_w"), "start_ms", "turn"))
+    best = met.withColumn("_place", place).where(F.col("_place") <= most)
+    one = F.struct(F.col("_place").alias("place"), F.substring("text", 1, 180).alias("text"), F.round(F.col("start_ms") / 1000, 2).alias("start"), F.round(F.col("end_ms") / 1000, 2).alias("end"), F.col("_w").alias("weight"))
+    lists = best.groupBy(F.col("call_id").alias("_call"), F.col("_event").alias("_of")).agg(F.array_sort(F.collect_list(one)).alias("_found"))
+    out = rows.join(lists, (F.col("call_id") == F.col("_call")) & F.col("_event").eqNullSafe(F.col("_of")), "left")
+    return out.select(*events.columns, F.coalesce("_found", F.array().cast(lists.schema["_found"].dataType)).alias("evidence"))
+
+
+def critical_events(cells: DataFrame, timeline: DataFrame, overlaps: DataFrame, utterances: DataFrame | None = None) -> DataFrame:
+    """All events that are confident enough, with the emotion of the nearest cell, the satisfaction at their time, a
+    description, and the evidence of the utterances if these are given."""
+    cells, timeline = written(cells), written(timeline)
     found = indices(cells)
     every = [emotion_peaks(found), shifts(found), timeline_moves(timeline, found), endings(cells), conflicts(found, overlaps)]
     rows = every[0].select(COLUMNS)
@@ -106,4 +154,6 @@ def critical_events(cells: DataFrame, timeline: DataFrame, overlaps: DataFrame)
     rows = rows.where(F.col("confidence") >= _E["min_confidence"])
     emotion = F.element_at(F.array(*map(F.lit, LABELS)), F.array_position("p", F.array_max("p")).cast("int"))
     rows = nearest(rows, cells.select(*KEYS, "t", emotion.alias("emotion")), KEYS, "t", "emotion")
-    return asof_interpolate(rows, timeline.withColumnRenamed("score", "satisfaction"), KEYS, "t", "satisfaction").select(*COLUMNS, "emotion", F.round("satisfaction", 1).alias("satisfaction"))
+    out = asof_interpolate(rows, timeline.withColumnRenamed("score", "satisfaction"), KEYS, "t", "satisfaction").select(*COLUMNS, "emotion", F.round("satisfaction", 1).alias("satisfaction"))
+    out = out.withColumn("description", F.create_map(*(F.lit(x) for pair in DESCRIPTIONS.items() for x in pair))[F.col("type")])
+    return out if utterances is None else evidence(written(out), utterances)

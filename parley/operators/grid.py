@@ -15,15 +15,15 @@ def cell_range(start_ms: Column, end_ms: Column) -> Column:
 
 
 def cells_of(windows: DataFrame, utterances: DataFrame) -> DataFrame:
-    """windows (call_id, speaker, w_start, w_end, p, conf, tension), utterances (call_id, speaker, turn, start_ms, end_ms,
+    """windows (call_id, speaker, w_start, w_end, p, conf, tension, agreement), utterances (call_id, speaker, turn, start_ms, end_ms,
     text_score, text_conf, text_frust) -> one row per call, speaker and covered second.
 
-    p and conf are means over covering windows, tension over those that have one. Text values are those of the last
+    p and conf are means over covering windows, tension and agreement (of audio and text) over those that have one. Text values are those of the last
     utterance to start; seconds that no window covers are left out.
     """
     covered = windows.withColumn("cell", F.explode(cell_range(F.col("w_start"), F.col("w_end"))))
     means = covered.groupBy("call_id", "speaker", "cell").agg(
-        F.array(*(F.avg(F.col("p")[k]) for k in range(len(LABELS)))).alias("p"), F.avg("conf").alias("conf"), F.avg("tension").alias("tension")
+        F.array(*(F.avg(F.col("p")[k]) for k in range(len(LABELS)))).alias("p"), F.avg("conf").alias("conf"), *(F.avg(c).alias(c) for c in ("tension", "agreement"))
     )
     said = utterances.withColumn("cell", F.explode(cell_range(F.col("start_ms"), F.col("end_ms"))))
     latest = F.struct("start_ms", "turn")

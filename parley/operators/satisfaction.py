@@ -12,6 +12,7 @@ COMPONENTS = ["signal", "final_state", "trend", "persistence", "stability", "tex
 
 
 def clip(x: Column, low: float, high: float) -> Column:
+    """x within the bounds; null counts as the lower one."""
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 
 
@@ -129,14 +130,15 @@ def initial_and_final(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def confidence(cells: DataFrame, keys: list[str], audio_quality: float | None = None, mismatch: bool = False) -> DataFrame:
-    """The engine's own confidence from 0 to 1: model, coverage, audio quality, text and agreement, weighted."""
+    """The engine's own confidence from 0 to 1: model, coverage, audio quality, text and agreement, weighted. Agreement of
+    audio and text is 0.5 where no cell has one; a language that doesn't match costs less if half of the cells have one."""
     w = DEFAULTS["satisfaction"]["confidence"]
     seconds = F.count(F.lit(1))
     cover = F.when(seconds < 20, 0.2 * seconds / 20).otherwise(0.4 + 0.6 * F.least(F.lit(1.0), (seconds - 20) / 160))
     model = clip((F.avg("conf") - 0.3) / 0.5, 0, 1)
     quality = F.lit(0.7 if audio_quality is None else min(max(audio_quality / 100, 0), 1))
-    total = w["model"] * model + w["coverage"] * cover + w["audio_quality"] * quality + w["text"] * (F.count("text_score") / seconds) + w["agreement"] * F.lit(0.5)
-    penalty = F.when(F.count("text_score") / seconds >= 0.5, 0.85).otherwise(0.6) if mismatch else F.lit(1.0)
+    total = w["model"] * model + w["coverage"] * cover + w["audio_quality"] * quality + w["text"] * (F.count("text_score") / seconds) + w["agreement"] * F.when(F.count("agreement") > 0, clip(F.avg("agreement"), 0, 1)).otherwise(0.5)
+    penalty = F.when(F.count("agreement") / seconds >= 0.5, 0.85).otherwise(0.6) if mismatch else F.lit(1.0)
     return cells.groupBy(*keys).agg(F.round(clip(total / sum(w.values()) * penalty, 0, 1), 3).alias("confidence"))
 
 
@@ -152,8 +154,25 @@ def tension_index() -> Column:
     return (audio + F.coalesce(0.35 * F.col("tension"), F.lit(0.0))) / (1.0 + F.when(F.col("tension").isNotNull(), 0.35).otherwise(0.0))
 
 
+def final_score(mode: str = "rules", model: Column | None = None, alpha: float = 0.5, calibration: dict | None = None) -> Column:
+    """The score of components() by mode: by rules, by a model's prediction (clipped to 0-100), or hybrid, alpha of it by
+    the model. Without a prediction the rules decide. A calibration that is enabled maps it to a * score + b, clipped."""
+    if mode not in ("rules", "model", "hybrid"):
+        raise ValueError("mode must be rules, model or hybrid")
+    out = F.col("score")
+    if mode != "rules" and model is not None:
+        part = 1.0 if mode == "model" else alpha
+        out = F.when(model.isNotNull(), part * clip(model, 0, 100) + (1 - part) * out).otherwise(out)
+    calibration = DEFAULTS["calibration"] if calibration is None else calibration
+    if calibration.get("enabled"):
+        out = clip(calibration["a"] * out + calibration["b"], 0, 100)
+    return out
+
+
 def speaker_metrics(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Dominant, initial and final emotion, and mean frustration, tension, positive and negative shares."""
+    """Per key: dominant, initial and final emotion; mean frustration, tension, positive and negative shares; stability;
+    mean_probabilities by label; analyzed_s, and the share of cells with an agreement; mean agreement (null without
+    one) and model confidence."""
     order, back = Window.partitionBy(*keys).orderBy("t"), Window.partitionBy(*keys).orderBy(F.desc("t"))
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     s = cells.withColumn("_i", F.row_number().over(order)).withColumn("_j", F.row_number().over(back)).withColumn("_n", n)
@@ -165,27 +184,38 @@ def speaker_metrics(cells: DataFrame, keys: list[str]) -> DataFrame:
 
     names = F.array(*map(F.lit, LABELS))
     argmax = lambda p: F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))
-    return s.groupBy(*keys).agg(
+    found = s.groupBy(*keys).agg(
         argmax(mean(None)).alias("dominant"),
         argmax(mean(first)).alias("initial_emotion"),
         argmax(mean(last)).alias("final_emotion"),
-        F.round(F.avg(frustration_index()), 4).alias("frustration"),
-        F.round(F.avg(tension_index()), 4).alias("tension"),
-        F.round(F.avg(F.col("p")[0]), 4).alias("positive"),
-        F.round(F.avg(F.col("p")[2] + F.col("p")[3] + F.col("p")[4] + F.col("p")[5]), 4).alias("negative"),
-        F.count(F.lit(1)).alias("coverage_s"),
+        F.avg(frustration_index()).alias("frustration"),
+        F.avg(tension_index()).alias("tension"),
+        F.avg(F.col("p")[0]).alias("positive"),
+        F.avg(F.col("p")[2] + F.col("p")[3] + F.col("p")[4] + F.col("p")[5]).alias("negative"),
+        mean(None).alias("mean_probabilities"),
+        F.count(F.lit(1)).alias("analyzed_s"),
+        (F.count("agreement") / F.count(F.lit(1))).alias("text_coverage"),
+        F.avg("agreement").alias("agreement"),
+        F.avg("conf").alias("model_confidence"),
     )
+    return found.join(components(cells, keys).select(*keys, F.col("B").alias("stability")), keys)
+
+
+#: The labels of the feature vector in its fixed order.
+FEATURE_LABELS = sorted(LABELS)
 
 
 def call_features(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, first third, last third and change of each label's probability, and five more numbers, as one array."""
+    """Per key `features`, 39 numbers: each label's mean probability, that of the first and of the last third of the
+    cells, and their change; five components; mean text score (0 without any), tension (0.5 without any), frustration
+    and tension index; the largest frustration; log(1 + cells)."""
     n, i = F.count(F.lit(1)).over(Window.partitionBy(*keys)), F.row_number().over(Window.partitionBy(*keys).orderBy("t"))
     s = cells.withColumn("_n", n).withColumn("_i", i).withColumn("_third", F.greatest(F.lit(1), F.floor(F.col("_n") / 3)))
     first, last = F.col("_i") <= F.col("_third"), F.col("_i") > F.col("_n") - F.col("_third")
-    values = []
-    for k in range(len(LABELS)):
-        p = F.col("p")[k]
-        a, b = F.avg(F.when(first, p)), F.avg(F.when(last, p))
-        values += [F.avg(p), a, b, b - a]
-    values += [F.avg("conf"), F.avg("tension"), F.avg("text_score"), F.avg(frustration_index()), F.count(F.lit(1)).cast("double")]
-    return s.groupBy(*keys).agg(F.transform(F.array(*values), lambda x: F.round(x, 5)).alias("features"))
+    p = [F.col("p")[LABELS.index(x)] for x in FEATURE_LABELS]
+    before, after = ([F.avg(F.when(where, x)) for x in p] for where in (first, last))
+    frustration = frustration_index()
+    rest = [F.coalesce(F.avg("text_score"), F.lit(0.0)), F.coalesce(F.avg("tension"), F.lit(0.5)), F.avg(frustration), F.avg(tension_index()), F.max(frustration), F.log1p(F.count(F.lit(1)).cast("double"))]
+    found = s.groupBy(*keys).agg(F.array(*map(F.avg, p), *before, *after, *(b - a for a, b in zip(before, after, strict=True))).alias("_p"), F.array(*rest).alias("_rest"))
+    parts = F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in ("signal", "final_state", "trend", "persistence", "stability")))
+    return found.join(components(cells, keys).select(*keys, parts.alias("_c")), keys).select(*keys, F.concat("_p", "_c", "_rest").alias("features"))

@@ -46,6 +46,25 @@ def smooth(value: Column | str, order: WindowSpec, whole: WindowSpec, k: int) ->
     return out
 
 
+def smooth_all(df: DataFrame, keys: list[str], order: str, values: list[str], k: int) -> DataFrame:
+    """df with each of the values (never null) replaced by its smooth() of k rows: one frame for all series of k rows or
+    more, and the whole series as a list for the shorter ones only."""
+    by, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    rows = df.withColumns({"_n": F.count(F.lit(1)).over(whole), "_i": F.row_number().over(by)})
+    series = F.collect_list(F.when(F.col("_n") < k, F.struct(*values))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    wide = {f"_w{i}": F.avg(v).over(by.rowsBetween(-(k // 2), k - 1 - k // 2)) for i, v in enumerate(values)}
+    rows = rows.withColumns({"_series": series, **wide})
+    first = F.greatest(F.lit(1), F.col("_i") - F.floor(F.col("_n") / 2))
+    last = F.least(F.col("_n"), F.col("_i") + F.col("_n") - 1 - F.floor(F.col("_n") / 2))
+    part = F.slice("_series", first.cast("int"), (last - first + 1).cast("int"))
+
+    def short(v: str) -> Column:
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x[v]) / F.size(part)
+
+    out = rows.withColumns({v: F.when(F.col("_n") < k, short(v)).otherwise(F.col(f"_w{i}")) for i, v in enumerate(values)})
+    return out.drop("_n", "_i", "_series", *wide)
+
+
 def runs(df: DataFrame, keys: list[str], order: str, mask: str) -> DataFrame:
     """df with _run: a number that is the same for neighbouring rows (by order) that have the same mask."""
     by = Window.partitionBy(*keys).orderBy(order)

@@ -54,8 +54,8 @@ def ev5_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ev6_critical_events")
 def ev6_critical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.critical_events(fixtures.cells(spark, sf_dir), _timeline(spark, sf_dir), intervals.overlaps(fixtures.turns(spark, sf_dir)))
-    return _shown(found)
+    found = events.critical_events(fixtures.cells(spark, sf_dir), _timeline(spark, sf_dir), intervals.overlaps(fixtures.turns(spark, sf_dir)), fixtures.utterances(spark, sf_dir))
+    return _shown(found).withColumn("evidence", F.to_json(F.transform("evidence", lambda x: F.struct(x["text"], x["start"], x["end"]))))
 
 
 _P = ", ".join(f"{rounded_sql(f'p[{i + 1}]', 5)} as {x}" for i, x in enumerate(LABELS))
@@ -72,7 +72,7 @@ hi as (select lo.*, k.t as t1, k.score as s1 from lo asof left join line k on lo
 select call_id, speaker, round(w_start / 1000.0::double, 2) as start, round(w_end / 1000.0::double, 2) as "end", {_P}, {LABELS!r}[list_position(p, conf)] as emotion, {rounded_sql('conf', 4)} as confidence,
   {rounded_sql('case when t0 is null then s1 when t1 is null then s0 else s0 + (s1 - s0) * (m - t0) / (t1 - t0) end', 1)} as satisfaction from hi""")
 def snk1_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per emotion window, with the satisfaction of its middle; sources.exports.write_csv() writes it."""
+    """One row per emotion window, with the satisfaction of its middle; sources.tables.write_csv() writes it."""
     e = fixtures.emissions(spark, sf_dir).withColumn("t", (F.col("w_start") + F.col("w_end")) / 2000.0)
     found = joins.asof_interpolate(e, _timeline(spark, sf_dir), KEYS, "t", "score")
     names = F.array(*map(F.lit, LABELS))

@@ -76,9 +76,9 @@ emissions as (select call_id, turn, speaker, widx, w_start, w_end, list_transfor
 
 
 def tension_of_windows(emitted: DataFrame) -> DataFrame:
-    """emissions with a bounded tension from 0 to 1, null for one window in five."""
-    value = ((F.col("call_id") * 13 + F.col("widx") * 7) % 101) / 100.0
-    return emitted.withColumn("tension", F.when(F.col("widx") % 5 != 0, value))
+    """emissions with a bounded tension and agreement of audio and text, from 0 to 1, null for one window in five and four."""
+    value, agreement = ((F.col("call_id") * a + F.col("widx") * b) % 101 / 100.0 for a, b in ((13, 7), (19, 11)))
+    return emitted.withColumn("tension", F.when(F.col("widx") % 5 != 0, value)).withColumn("agreement", F.when(F.col("widx") % 4 != 0, agreement))
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,15 +89,16 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per call, speaker and covered second: t, p, conf, tension, text_score, text_frust."""
+    """One row per call, speaker and covered second: t, p, conf, tension, agreement, text_score, text_frust."""
     return cells_of(tension_of_windows(emissions(spark, sf_dir)), utterances(spark, sf_dir))
 
 
 _MEANS = ", ".join(f"avg(p[{k + 1}])" for k in range(len(LABELS)))
 CELLS = EMISSIONS + f""",
-tense as (select *, case when widx % 5 <> 0 then ((call_id * 13 + widx * 7) % 101) / 100.0::double end as tension from emissions),
+tense as (select *, case when widx % 5 <> 0 then ((call_id * 13 + widx * 7) % 101) / 100.0::double end as tension,
+          case when widx % 4 <> 0 then ((call_id * 19 + widx * 11) % 101) / 100.0::double end as agreement from emissions),
 covered as (select *, unnest(range(w_start // 1000, greatest(w_start // 1000 + 1, (w_end + 999) // 1000))) as cell from tense),
-means as (select call_id, speaker, cell, [{_MEANS}] as p, avg(conf) as conf, avg(tension) as tension from covered group by all),
+means as (select call_id, speaker, cell, [{_MEANS}] as p, avg(conf) as conf, avg(tension) as tension, avg(agreement) as agreement from covered group by all),
 said as (select call_id, speaker, turn, start_ms, ((call_id * 11 + turn * 29) % 201 - 100) / 100.0::double as text_score, ((turn * 17) % 61) / 100.0::double as text_conf,
                 ((call_id + turn * 37) % 101) / 100.0::double as text_frust,
                 unnest(range(start_ms // 1000, greatest(start_ms // 1000 + 1, (end_ms + 999) // 1000))) as cell from turns),

@@ -54,6 +54,20 @@ def ml3_two_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.two_voices(table(spark, sf_dir, "embeddings"), "embedding")
 
 
+@query("ag23_separation", f"""with v as (select label, embedding, sqrt(list_inner_product(embedding::double[], embedding::double[])) as length from embeddings where label in (0, 1)),
+u as (select label, pos, sum(embedding[pos]::double / length) as s, avg(embedding[pos]::double) as c from v, range(1, 65) as r(pos) group by all),
+n as (select label, count(*)::double as n from v group by 1),
+g as (select sum(case when a.label = 0 and b.label = 1 then a.c * b.c end) as cc, sum(case when a.label = 0 and b.label = 0 then a.c * a.c end) as c0, sum(case when a.label = 1 and b.label = 1 then a.c * a.c end) as c1,
+  sum(case when a.label = 0 and b.label = 1 then a.s * b.s end) as s01, sum(case when a.label = 0 and b.label = 0 then a.s * a.s end) as s0, sum(case when a.label = 1 and b.label = 1 then a.s * a.s end) as s1 from u a join u b using (pos)),
+m as (select g.*, x.n as n0, y.n as n1 from g, n x, n y where x.label = 0 and y.label = 1)
+select (n0 + n1)::bigint as n, {rounded_sql('cc / (sqrt(c0 * c1) + 1e-9)', 5)} as similarity, {rounded_sql('((s0 - n0) / (n0 * (n0 - 1)) + (s1 - n1) / (n1 * (n1 - 1))) / 2 - s01 / (n0 * n1)', 5)} as gap, {rounded_sql('least(n0, n1) / (n0 + n1)', 5)} as minor_share from m""")
+def ag23_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The separation of two given clusters: labels 0 and 1 of the embeddings."""
+    rows = table(spark, sf_dir, "embeddings").where("label in (0, 1)").select(F.col("label").alias("cluster"), "embedding")
+    found = learning.separation(rows, "embedding", "cluster")
+    return found.select("n", *(rounded(c, 5).alias(c) for c in ("similarity", "gap", "minor_share")))
+
+
 @query("jn15_reconcile")
 def jn15_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty vectors are a call's chunks."""
@@ -190,9 +204,13 @@ def sx5_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", rounded("value", 3).alias("value"))
 
 
-@query("sx5_sessions")
+@query("sx5_sessions", """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '1 hour' then 0 else 1 end as new from events),
+s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as number from e)
+select user_id, min(ts) as start, max(ts) + interval '1 hour' as "end", count(*) as n from s group by user_id, number""")
 def sx5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.into_table(spark, live.sessions(live.read_events(spark, f"{sf_dir}/events.parquet")), "sessions").drop("batch")
+    """All sessions, those that are open when the files end too."""
+    found = live.into_table(spark, live.sessions(live.read_events(spark, f"{sf_dir}/events.parquet")), "sessions", "complete").drop("batch")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query("sx5_running_mean")

@@ -76,16 +76,37 @@ def se10_initial_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*KEYS, *(F.round(c, 2).alias(c) for c in ("initial", "final", "delta")), "trend")
 
 
-@query("se11_confidence", f"""with {fixtures.CELLS}, g as (select call_id, speaker, count(*)::double as s, least(greatest((avg(conf) - 0.3::double) / 0.5::double, 0), 1) as m, count(text_score) / count(*)::double as x from cells group by all)
-select call_id, speaker, round(least(greatest(0.35::double * m + 0.25::double * (case when s < 20 then 0.2::double * s / 20 else 0.4::double + 0.6::double * least(1.0::double, (s - 20) / 160) end) + 0.15::double * 0.7::double + 0.1::double * x + 0.15::double * 0.5::double, 0), 1), 3) as confidence from g""")
+@query("se11_confidence", f"""with {fixtures.CELLS}, g as (select call_id, speaker, count(*)::double as s, least(greatest((avg(conf) - 0.3::double) / 0.5::double, 0), 1) as m, count(text_score) / count(*)::double as x, case when count(agreement) > 0 then least(greatest(avg(agreement), 0), 1) else 0.5::double end as ag from cells group by all)
+select call_id, speaker, round(least(greatest(0.35::double * m + 0.25::double * (case when s < 20 then 0.2::double * s / 20 else 0.4::double + 0.6::double * least(1.0::double, (s - 20) / 160) end) + 0.15::double * 0.7::double + 0.1::double * x + 0.15::double * ag, 0), 1) + 1e-9::double, 3) as confidence from g""")
 def se11_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.confidence(fixtures.cells(spark, sf_dir), KEYS)
 
 
+@query("se11_mismatch", f"""with {fixtures.CELLS}, g as (select call_id, speaker, count(*)::double as s, least(greatest((avg(conf) - 0.3::double) / 0.5::double, 0), 1) as m, count(text_score) / count(*)::double as x,
+  case when count(agreement) > 0 then least(greatest(avg(agreement), 0), 1) else 0.5::double end as ag, count(agreement) / count(*)::double as cover from cells group by all)
+select call_id, speaker, round(least(greatest((0.35::double * m + 0.25::double * (case when s < 20 then 0.2::double * s / 20 else 0.4::double + 0.6::double * least(1.0::double, (s - 20) / 160) end) + 0.15::double * 0.4::double + 0.1::double * x + 0.15::double * ag) * case when cover >= 0.5 then 0.85::double else 0.6::double end, 0), 1) + 1e-9::double, 3) as confidence from g""")
+def se11_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.confidence(fixtures.cells(spark, sf_dir), KEYS, audio_quality=40.0, mismatch=True)
+
+
+#: A stand-in for a model's prediction, so that both engines can tell what a mode makes of it.
+_MODEL = "((call_id * 37) % 131) - 10"
+
+
 @query("se12_calibrated", f"with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)} select call_id, speaker, round(least(greatest(1.1::double * score - 3, 0), 100), 3) as score from scored")
 def se12_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = engine.components(fixtures.cells(spark, sf_dir), KEYS)
-    return found.select(*KEYS, F.round(engine.clip(1.1 * F.col("score") - 3, 0, 100), 3).alias("score"))
+    return found.select(*KEYS, F.round(engine.final_score(calibration={"enabled": True, "a": 1.1, "b": -3.0}), 3).alias("score"))
+
+
+@query("se12_modes", f"""with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)}, m as (select *, case when call_id % 5 <> 0 then least(greatest(({_MODEL})::double, 0), 100) end as model from scored)
+select call_id, speaker, round(score + 1e-9::double, 3) as rules, round(coalesce(model, score) + 1e-9::double, 3) as model, round(coalesce(0.3::double * model + 0.7::double * score, score) + 1e-9::double, 3) as hybrid,
+  round(least(greatest(0.9::double * coalesce(0.5::double * model + 0.5::double * score, score) + 8, 0), 100) + 1e-9::double, 3) as calibrated from m""")
+def se12_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.components(fixtures.cells(spark, sf_dir), KEYS)
+    model = F.when(F.col("call_id") % 5 != 0, F.expr(_MODEL).cast("double"))
+    modes = {"rules": engine.final_score(), "model": engine.final_score("model", model), "hybrid": engine.final_score("hybrid", model, 0.3), "calibrated": engine.final_score("hybrid", model, calibration={"enabled": True, "a": 0.9, "b": 8.0})}
+    return found.select(*KEYS, *(F.round(x + 1e-9, 3).alias(name) for name, x in modes.items()))
 
 
 _FRUST = f"((least(greatest({_dot(FRUSTRATION)}, 0), 1) + coalesce(0.35::double * least(greatest(2 * (tension - 0.5::double), 0), 1), 0) + coalesce(0.5::double * text_frust, 0)) / (1.0::double + case when tension is null then 0 else 0.35::double end + case when text_frust is null then 0 else 0.5::double end))"
@@ -97,20 +118,45 @@ def se14_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.cells(spark, sf_dir).select(*KEYS, "cell", F.round(engine.frustration_index(), 6).alias("frustration"), F.round(engine.tension_index(), 6).alias("tension"))
 
 
-@query("se13_speaker_metrics")
+def _means(where: str) -> str:
+    return "[" + ", ".join(f"avg(p[{i + 1}]) {where}" for i in range(len(LABELS))) + "]"
+
+
+_METRICS = ["frustration", "tension", "positive", "negative", "stability", "text_coverage", "agreement", "model_confidence"]
+
+
+@query("se13_speaker_metrics", f"""with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)},
+o as (select *, row_number() over (partition by call_id, speaker order by t) as i, row_number() over (partition by call_id, speaker order by t desc) as j, count(*) over (partition by call_id, speaker) as n from cells),
+e as (select call_id, speaker, {_means('')} as m, {_means('filter (i <= 30)')} as a, {_means('filter (j <= greatest(3, least(60, floor(0.2::double * n))))')} as z, avg({_FRUST}) as frustration, avg({_TENSE}) as tension,
+  avg(p[1]) as positive, avg(p[3] + p[4] + p[5] + p[6]) as negative, count(*) as analyzed_s, count(agreement) / count(*)::double as text_coverage, avg(agreement) as agreement, avg(conf) as model_confidence from o group by 1, 2)
+select call_id, speaker, {', '.join(f'{LABELS}[list_position({x}, list_max({x}))] as {name}' for x, name in (('m', 'dominant'), ('a', 'initial_emotion'), ('z', 'final_emotion')))}, analyzed_s, round(list_max(m) + 1e-9::double, 4) as most_probable,
+  {', '.join(f'round({"B" if c == "stability" else c} + 1e-9::double, 4) as {c}' for c in _METRICS)} from e join (select call_id, speaker, B from scored) using (call_id, speaker)""")
 def se13_speaker_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.speaker_metrics(fixtures.cells(spark, sf_dir), KEYS)
+    found = engine.speaker_metrics(fixtures.cells(spark, sf_dir), KEYS)
+    return found.select(*KEYS, "dominant", "initial_emotion", "final_emotion", "analyzed_s", F.round(F.array_max("mean_probabilities") + 1e-9, 4).alias("most_probable"), *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in _METRICS))
+
+
+def _feature_sql() -> str:
+    p = [f"p[{LABELS.index(x) + 1}]" for x in engine.FEATURE_LABELS]
+    first, last = "filter (i <= third)", "filter (i > n - third)"
+    values = [f"avg({x})" for x in p] + [f"avg({x}) {first}" for x in p] + [f"avg({x}) {last}" for x in p] + [f"avg({x}) {last} - avg({x}) {first}" for x in p]
+    values += [f"max({c})" for c in ("signal", "final_state", "trend", "persistence", "stability")]
+    values += ["coalesce(avg(o.text_score), 0)", "coalesce(avg(o.tension), 0.5::double)", f"avg({_FRUST})", f"avg({_TENSE})", f"max({_FRUST})", "ln(1 + count(*)::double)"]
+    return ", ".join(f"round({v} + 1e-9::double, 5) as f{i:02d}" for i, v in enumerate(values))
 
 
-@query("se15_call_features")
+@query("se15_call_features", f"""with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)},
+o as (select *, greatest(1, n // 3) as third from (select *, row_number() over (partition by call_id, speaker order by t) as i, count(*) over (partition by call_id, speaker) as n from cells))
+select call_id, speaker, {_feature_sql()} from o join (select call_id, speaker, signal, final_state, trend, persistence, stability from scored) using (call_id, speaker) group by 1, 2""")
 def se15_call_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.call_features(fixtures.cells(spark, sf_dir), KEYS)
+    found = engine.call_features(fixtures.cells(spark, sf_dir), KEYS)
+    return found.select(*KEYS, *(F.round(F.col("features")[i] + 1e-9, 5).alias(f"f{i:02d}") for i in range(39)))
 
 
-@query("wn3_grid", f"with {fixtures.CELLS} select call_id, speaker, cell, {', '.join(f'round(p[{i + 1}], 6) as p_{x}' for i, x in enumerate(LABELS))}, round(conf, 6) as conf, round(tension, 6) as tension, round(text_score, 6) as text_score, text_frust from cells")
+@query("wn3_grid", f"with {fixtures.CELLS} select call_id, speaker, cell, {', '.join(f'round(p[{i + 1}], 6) as p_{x}' for i, x in enumerate(LABELS))}, round(conf, 6) as conf, round(tension, 6) as tension, round(agreement, 6) as agreement, round(text_score, 6) as text_score, text_frust from cells")
 def wn3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixtures.cells(spark, sf_dir)
-    return c.select(*KEYS, "cell", *(F.round(F.col("p")[i], 6).alias(f"p_{x}") for i, x in enumerate(LABELS)), *(F.round(x, 6).alias(x) for x in ("conf", "tension", "text_score")), "text_frust")
+    return c.select(*KEYS, "cell", *(F.round(F.col("p")[i], 6).alias(f"p_{x}") for i, x in enumerate(LABELS)), *(F.round(x, 6).alias(x) for x in ("conf", "tension", "agreement", "text_score")), "text_frust")
 
 
 @query("wn5_smoothing", f"with {fixtures.CELLS} select call_id, speaker, cell, round(avg(tension) over (partition by call_id, speaker order by t rows between 1 preceding and 1 following), 6) as s3, round(avg(tension) over (partition by call_id, speaker order by t rows between 5 preceding and 4 following), 6) as s10 from cells qualify count(*) over (partition by call_id, speaker) >= 10")

@@ -37,7 +37,7 @@ def sf3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = [(i, *span) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for span in tf.pii_spans(t or "")]
             yield pd.DataFrame(rows, columns=["doc_id", "entity", "start", "end"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(find, "doc_id long, entity string, start int, end int")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").where(tf.may_have_pii(F.col("text"))).mapInPandas(find, "doc_id long, entity string, start int, end int")
 
 
 @query("sf3_redaction")

@@ -32,7 +32,8 @@ def windows(events: DataFrame, width: str = "1 hour", late: str = "30 minutes")
 
 
 def sessions(events: DataFrame, gap: str = "1 hour", late: str = "30 minutes") -> DataFrame:
-    """user_id, start, end, n of sessions that end after `gap` without an event."""
+    """user_id, start, end, n of sessions that end after `gap` without an event. In append mode a session comes when the
+    watermark has passed it, in complete mode those that are still open come too."""
     found = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
@@ -59,11 +60,16 @@ def run_batches(stream: DataFrame, stage: Callable[[DataFrame, int], Any], check
 
 
 def into_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """The stream's rows, written by batch number and read back."""
+    """The stream's rows, written by batch number and read back. In complete mode each batch holds the whole result, so
+    the newest one is read only."""
     out, schema = shared_folder(spark, name), stream.schema
 
     def stage(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     run_batches(stream, stage, shared_folder(spark, f"{name}-offsets"), mode)
-    return spark.read.schema(schema.add("batch", "long")).parquet(out)
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(out)
+    if mode == "complete":
+        newest = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == F.lit(newest))
+    return rows
