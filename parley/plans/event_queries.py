@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import LABELS
-from ..operators import events, intervals, joins, satisfaction
+from ..config import DEFAULTS, LABELS
+from ..operators import events, exports, intervals, joins, satisfaction
+from ..sources.tables import written
 from . import fixtures
 from .registry import query
 from .satisfaction_queries import TIMELINE, _components
@@ -84,14 +85,30 @@ def snk1_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("snk2_json_export")
 def snk2_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested JSON document per call: its speakers, segments and windows, each list in order."""
-    t = fixtures.turns(spark, sf_dir)
-    ordered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
-    segments = t.groupBy("call_id").agg(ordered("start_ms", "end_ms", "turn", "speaker", "text").alias("segments"))
-    speakers = intervals.talk_time(t).groupBy("call_id").agg(ordered("speaker", "turns", "talk_s", "ratio").alias("speakers"))
-    emotions = fixtures.emissions(spark, sf_dir).groupBy("call_id").agg(ordered("widx", "speaker", "w_start", "w_end", F.round("conf", 4).alias("confidence")).alias("emotions"))
-    doc = segments.join(speakers, "call_id", "left").join(emotions, "call_id", "left")
-    return doc.select("call_id", F.size("segments").cast("long").alias("n_segments"), F.to_json(F.struct("call_id", "speakers", "segments", "emotions")).alias("document"))
+    """One nested JSON document per call: all that is known of it, each list in order."""
+    cells, timeline = written(fixtures.cells(spark, sf_dir)), written(_timeline(spark, sf_dir))
+    t, said = fixtures.turns(spark, sf_dir), fixtures.utterances(spark, sf_dir)
+    found = events.critical_events(cells, timeline, intervals.overlaps(t), said)
+    scored = satisfaction.components(cells, KEYS).join(satisfaction.confidence(cells, KEYS), KEYS).join(satisfaction.initial_and_final(cells, KEYS).drop("delta").withColumnRenamed("trend", "direction"), KEYS, "left").join(satisfaction.speaker_metrics(cells, KEYS).select(*KEYS, "dominant", "frustration", "tension"), KEYS)
+    doc = exports.call_documents(fixtures.calls(spark, sf_dir), intervals.talk_time(t), t, said, fixtures.emissions(spark, sf_dir), scored, timeline, found, DEFAULTS)
+    return doc.select("call_id", F.size("segments").cast("long").alias("n_segments"), F.size("events").cast("long").alias("n_events"), F.to_json(F.struct(*doc.columns)).alias("document"))
+
+
+@query("snk3_transcription", """with d as (select conv_id as call_id, turn, role, text from conversations where role in ('user', 'assistant'))
+select call_id, turn, case when role = 'user' then 'SPEAKER_00' else 'SPEAKER_01' end as speaker, text, ((turn * 17) % 61) / 100.0::double as confidence from d""")
+def snk3_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.transcription_sheet(fixtures.utterances(spark, sf_dir)).select("call_id", "turn", "speaker", "text", "confidence")
+
+
+@query("snk3_satisfaction", f"with recursive {TIMELINE} select call_id, speaker, t, round(score + 1e-9::double, 2) as score from line")
+def snk3_satisfaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.satisfaction_sheet(_timeline(spark, sf_dir))
+
+
+@query("snk3_events")
+def snk3_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events.critical_events(fixtures.cells(spark, sf_dir), _timeline(spark, sf_dir), intervals.overlaps(fixtures.turns(spark, sf_dir)))
+    return exports.events_sheet(found)
 
 
 @query("snk3_sheet_summary", f"""with {fixtures.EMISSIONS}

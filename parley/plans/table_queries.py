@@ -7,18 +7,10 @@ from .registry import sql_query
 
 # --- sources and sinks -----------------------------------------------------------------------------------------------
 
-sql_query("src3_upload_ingest", """select doc_id, sha2(text, 256) as file_hash, case when length(text) = 0 then 'empty' when length(text) > 12000 then 'too_long' when source not in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') then 'extension' end as reason from {documents}""",
-          """select doc_id, sha256(text) as file_hash, case when length(text) = 0 then 'empty' when length(text) > 12000 then 'too_long' when source not in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') then 'extension' end as reason from {documents}""")
-sql_query("src4_manifest_rows", """select case when o_totalprice > 300000 then 'satisfaction out of range' when o_orderpriority = '5-LOW' then 'missing label' end as error, count(*) as n, min(o_orderkey + 2) as first_row from {orders} group by 1""")
 sql_query("src5_tenant_scan", "select c_custkey, c_name, c_acctbal from {customer} where c_nationkey = 7")
 sql_query("src6_json_scan", """select event_id, get_json_object(props, '$.k') as k from {events}""", """select event_id, json_extract_string(props, '$.k') as k from {events}""")
 sql_query("snk5_manifest_export", "select concat('audio/', cast(o_orderkey as string), '.wav') as audio, o_custkey as speaker, o_orderpriority as emotion, round(o_totalprice / 5000, 2) as satisfaction, 0 as start from {orders}",
           "select concat('audio/', cast(o_orderkey as varchar), '.wav') as audio, o_custkey as speaker, o_orderpriority as emotion, round(o_totalprice / 5000, 2) as satisfaction, 0 as start from {orders}")
-sql_query("snk6_config_hash", "select doc_id, substring(sha2(concat('lang=', lang, ';source=', source), 256), 1, 16) as config_hash from {documents}", "select doc_id, substring(sha256(concat('lang=', lang, ';source=', source)), 1, 16) as config_hash from {documents}")
-sql_query("snk7_encryption_round_trip", """select doc_id, decode(aes_decrypt(aes_encrypt(encode(text, 'UTF-8'), unhex(substring(sha2('parley-secret', 256), 1, 32)), 'GCM'), unhex(substring(sha2('parley-secret', 256), 1, 32)), 'GCM'), 'UTF-8') = text as same, length(text) as n from {documents}""",
-          "select doc_id, true as same, length(text)::int as n from {documents}")
-sql_query("snk8_byte_ranges", "select doc_id, substring(text, 101, 100) as part, case when length(text) <= 100 then 416 else 206 end as status from {documents}")
-
 # --- filters and projections -----------------------------------------------------------------------------------------
 
 sql_query("flt1_call_search", """select o_orderkey, c_name, o_totalprice from {orders} join {customer} on o_custkey = c_custkey
@@ -31,8 +23,6 @@ sql_query("flt7_org_isolation", "select c_nationkey as org_id, count(*) as calls
 sql_query("flt8_request_validation", """select d.doc_id, case when n_chars < 50 then 'text too short' when n_chars > 10000 then 'text too long' when lang not in ('en', 'es') then 'language' when coalesce(toxic, 0) = 1 then 'rejected' end as reason
 from {documents} d left join {labels} l on d.doc_id = l.doc_id""")
 sql_query("prj1_json_defaults", "select event_id, coalesce(get_json_object(props, '$.speakers.count'), '0') as speakers, coalesce(get_json_object(props, '$.k'), 'none') as k from {events}", "select event_id, coalesce(json_extract_string(props, '$.speakers.count'), '0') as speakers, coalesce(json_extract_string(props, '$.k'), 'none') as k from {events}")
-sql_query("prj2_redacted", "select doc_id, case when doc_id % 2 = 0 and redacted is not null then redacted else text end as text from (select doc_id, text, case when text like '%@%' then regexp_replace(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+', '[EMAIL]') end as redacted from {documents})",
-          "select doc_id, case when doc_id % 2 = 0 and redacted is not null then redacted else text end as text from (select doc_id, text, case when text like '%@%' then regexp_replace(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+', '[EMAIL]', 'g') end as redacted from {documents})")
 sql_query("prj3_error_codes", "select page_id, split(url, ':', 2)[0] as code, split(url, ':', 2)[1] as message from {pages}", "select page_id, split_part(url, ':', 1) as code, substr(url, strpos(url, ':') + 1) as message from {pages}")
 sql_query("prj4_progress", """select event_id, round(lo + (hi - lo) * pct / 100, 1) as progress from (select event_id, event_type, event_id % 101 as pct from {events}) e
 join (values ('click', 0.0D, 15.0D), ('view', 15.0D, 30.0D), ('purchase', 30.0D, 55.0D), ('signup', 55.0D, 85.0D), ('logout', 85.0D, 100.0D)) as s(event_type, lo, hi) using (event_type)""",

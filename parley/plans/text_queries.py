@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tf
@@ -40,10 +40,12 @@ def sf3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").where(tf.may_have_pii(F.col("text"))).mapInPandas(find, "doc_id long, entity string, start int, end int")
 
 
-@query("sf3_redaction")
-def sf3_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hide = _redact()
-    return table(spark, sf_dir, "documents").select("doc_id", hide(F.col("text")).alias("redacted"))
+def redacted(rows: DataFrame, text: str, where: Column | None = None) -> DataFrame:
+    """rows with the personal data of `text` replaced by placeholders, where the condition holds; null is empty. Only
+    texts with a mark of personal data leave the JVM."""
+    asked = tf.may_have_pii(F.col(text)) & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    plain = rows.where(~asked).withColumn(text, F.coalesce(text, F.lit("")))
+    return plain.union(rows.where(asked).withColumn(text, _redact()(F.col(text))))
 
 
 def _redact():
@@ -54,6 +56,17 @@ def _redact():
     return hide
 
 
+@query("sf3_redaction")
+def sf3_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("redacted")), "redacted")
+
+
+@query("prj2_redacted")
+def prj2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as a reader sees them who may see personal data of odd documents only."""
+    return redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", F.col("doc_id") % 2 == 0)
+
+
 @query("sf4_collapse_repeats")
 def sf4_collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tf.collapse_repeats(F.col("text")).alias("text"))

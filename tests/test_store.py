@@ -1,0 +1,143 @@
+"""Manifests, sealed files, byte ranges and cached results on hand-made rows."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from parley.sources import manifest, store
+from parley.sources.tables import write_csv
+
+
+def test_manifest_rows_and_errors(spark, tmp_path):
+    lines = [
+        "﻿Audio,speaker,emotion,satisfaction,start,end,extra",
+        'a.wav,"Ann, B",HAPPY,80,1:30,00:02:00,x',
+        "/etc/a.wav,,sad,,,,",
+        "b/../../a.wav,,sad,,,,",
+        ",,sad,,,,",
+        "a.wav,,joyful,,,,",
+        "a.wav,,,,,,",
+        "a.wav,,,101,,,",
+        "a.wav,,,many,,,",
+        "a.wav,,sad,,1:x,,",
+        "a.wav,,sad,,10,10,",
+        "lost.wav,,sad,,,,",
+        "a.wav,,,55.5,83.5,,",
+    ]
+    path = tmp_path / "m.csv"
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    known = spark.createDataFrame([("a.wav",)], "audio string")
+    found = manifest.read_manifest(spark, str(path), known)
+    rows = {r["row"]: r for r in found.collect()}
+    assert rows[2]["speaker"] == "Ann, B" and rows[2]["emotion"] == "happy" and (rows[2]["start_s"], rows[2]["end_s"], rows[2]["error"]) == (90.0, 120.0, None)
+    assert [rows[i]["error"] for i in range(3, 13)] == ["audio is outside of the folder"] * 2 + ["audio is missing", "emotion is not known", "neither emotion nor satisfaction"] + ["satisfaction is no number from 0 to 100"] * 2 + ["time is not readable", "end is not after start", "audio is not found"]
+    assert rows[13]["error"] is None and rows[13]["start_s"] == 83.5 and rows[13]["satisfaction_n"] == 55.5
+    report = manifest.import_report(found, most=3).first()
+    assert (report["imported"], report["error_count"], [e["row"] for e in report["errors"]]) == (2, 10, [3, 4, 5])
+
+
+def test_numbers_go_on_across_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("audio,emotion\n" + "".join(f"f{i}_{j}.wav,sad\n" for j in range(4)))
+    rows = manifest.read_manifest(spark, str(tmp_path)).collect()
+    assert sorted(r["row"] for r in rows) == list(range(2, 14))
+
+
+@pytest.mark.parametrize("start,length", [(0, 5), (3, 9), (8, 8), (15, 100), (40, 3)])
+def test_sealed_ranges(spark, start, length):
+    data = {1: bytes(range(40)), 2: b"short", 3: b"", 4: bytes([0, 255, 10, 0] * 5)}
+    frame = spark.createDataFrame([*data.items(), (5, None)], "id long, content binary")
+    sealed = store.seal(frame, "id", "content", "secret", 8)
+    assert sealed.where("id = 3").count() == 1 and sealed.where("id = 5").count() == 0
+    got = {r["id"]: bytes(r["content"]) for r in store.read_range(sealed, "id", start, length, "secret", 8).collect()}
+    for i, content in data.items():
+        assert got.get(i, b"") == content[start : start + length]
+
+
+def test_a_sealed_chunk_opens_at_its_place_only(spark):
+    sealed = store.seal(spark.createDataFrame([(1, b"0123456789abcdef")], "id long, content binary"), "id", "content", "secret", 8)
+    for other, secret in ((sealed.withColumn("part", 1 - F.col("part")), "secret"), (sealed.withColumn("id", F.lit(2)), "secret"), (sealed, "wrong")):
+        with pytest.raises(Exception):  # noqa: B017
+            store.read_range(other, "id", 0, 4, secret, 8).collect()
+
+
+def test_byte_ranges(spark):
+    cases = {("bytes=0-9", 100): (206, 0, 9), ("bytes=90-200", 100): (206, 90, 99), ("bytes=5-", 100): (206, 5, 99), ("bytes=-7", 100): (206, 93, 99), ("bytes=-700", 100): (206, 0, 99), ("bytes=100-", 100): (416, None, None), ("bytes=9-3", 100): (416, None, None), ("bytes=-", 100): (200, 0, 99), (None, 100): (200, 0, 99), ("bytes=0-1", 0): (416, None, None), ("bytes=-5", 0): (416, None, None)}
+    frame = spark.createDataFrame(list(cases), "h string, n long")
+    got = {(r["h"], r["n"]): tuple(r["r"]) for r in frame.select("h", "n", store.byte_range(F.col("h"), F.col("n")).alias("r")).collect()}
+    assert got == cases
+
+
+def test_cache_by_organisation(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    schema = "org_id long, file_hash string, stage string, config_hash string, value string"
+    store.cache_put(spark.createDataFrame([(1, "aa1", "vad", "c", "x"), (1, None, "vad", "c", "lost"), (2, "aa1", "vad", "c", "other")], schema), path)
+    store.cache_put(spark.createDataFrame([(1, "aa1", "vad", "c", "newer"), (1, "aa2", "vad", "c", "y")], schema), path)
+    asked = spark.createDataFrame([(1, "aa1", "vad", "c"), (1, "aa2", "vad", "c"), (1, "aa2", "vad", "d"), (2, "aa1", "vad", "c"), (3, "aa1", "vad", "c")], "org_id long, file_hash string, stage string, config_hash string")
+
+    def values():
+        return [r["value"] for r in store.cache_get(asked, path).orderBy("org_id", "file_hash", "config_hash").collect()]
+
+    assert values() == ["newer", "y", None, "other", None]
+    store.cache_purge(asked.where("org_id = 1 and file_hash = 'aa1'"), path)
+    assert values() == [None, "y", None, "other", None]
+    store.cache_put(spark.createDataFrame([(1, "aa1", "vad", "c", "again")], schema), path)
+    assert values()[0] == "again"
+
+
+def test_uploads(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(b"123")
+    (tmp_path / "b.txt").write_bytes(b"123")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in store.read_uploads(spark, str(tmp_path)).collect()}
+    assert {k: r["error"] for k, r in rows.items()} == {"a.wav": None, "b.txt": "extension"}
+    assert rows["a.wav"]["file_hash"].startswith("a665a459") and rows["b.txt"]["file_hash"] is None
+
+
+def test_upload_errors(spark):
+    cases = [("x.MP3", 5, 60.0, None), ("x", 5, 60.0, "extension"), ("a.mp3/x.exe", 5, 60.0, "extension"), (None, 5, 60.0, "extension"), ("x.ogg", 0, 60.0, "empty"), ("x.ogg", None, 60.0, "empty"), ("x.ogg", 5 << 30, 60.0, "too_large"), ("x.ogg", 5, None, "not_audio"), ("x.ogg", 5, 43_201.0, "too_long")]
+    frame = spark.createDataFrame([(i, n, s, d) for i, (n, s, d, _) in enumerate(cases)], "i int, name string, size long, seconds double")
+    got = [r["e"] for r in frame.orderBy("i").select(store.upload_error(F.col("name"), F.col("size"), F.col("seconds")).alias("e")).collect()]
+    assert got == [c[3] for c in cases]
+
+
+def test_csv_begins_with_a_mark(spark, tmp_path):
+    write_csv(spark.createDataFrame([("é", 'say "x"')], "a string, b string").coalesce(1), str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("part-*")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfa,b\n") and "é" in part.read_text("utf-8")
+
+
+def test_redaction_is_that_of_the_plain_function_on_every_text(spark):
+    from parley.functions import text as tf
+    from parley.plans.text_queries import redacted
+
+    said = ["Call me at 555 123 4567", "nothing to see", None, "", "mi correo es ana.b@x.org", "ana arroba correo punto com", "le habla Juan Pérez", "DNI ABCDE12", "Dr. House", "one two three four five six seven", "card 4539 5787 6362 1486", "vivo en calle Mayor 12"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    texts = said + [r["text"] for r in docs.collect()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r["i"]: r["text"] for r in redacted(frame, "text").collect()}
+    assert got == {i: tf.redact(t or "") for i, t in enumerate(texts)}
+    assert sum(got[i] != t for i, t in enumerate(said) if t) == 9
+    odd = {r["i"]: r["text"] for r in redacted(frame, "text", F.col("i") % 2 == 1).collect()}
+    assert odd[0] == said[0] and odd[5] == got[5]
+
+
+def test_documents_of_calls_hold_all_parts(spark):
+    import json
+
+    from parley.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["snk2_json_export"](spark, sf).collect()
+    said = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role in ('user', 'assistant')").collect():
+        said.setdefault(r["conv_id"], []).append((r["turn"], r["text"]))
+    assert {r["call_id"] for r in rows} == set(said)
+    for r in rows:
+        document = json.loads(r["document"])
+        assert set(document) == {"call_id", "call", "speakers", "segments", "transcription", "emotions", "satisfaction", "events", "config", "notice"}
+        assert sorted(x["text"] for x in document["transcription"]) == sorted(t for _, t in said[r["call_id"]])
+        assert [x["start"] for x in document["segments"]] == sorted(x["start"] for x in document["segments"])
+        assert all(abs(sum(x["probabilities"]) - 1) < 1e-3 for x in document["emotions"]) and len(document["segments"]) == r["n_segments"]
+        assert {s["speaker"] for s in document["satisfaction"]} <= {s["speaker"] for s in document["speakers"]}
+    assert any(json.loads(r["document"])["satisfaction"][0]["timeline"] for r in rows if json.loads(r["document"])["satisfaction"])
