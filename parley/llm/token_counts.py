@@ -25,8 +25,8 @@ from .shared import hash_sample, small_batches
 
 #: Entries of tier one: at most 17 bytes each, in memory and in the broadcast.
 FREQUENT = 50_000
-#: Documents of the sample for tier one, characters of each that it looks at, and entries a worker's cache may hold.
-SAMPLE, LOOKED_AT, CACHED = 4_000, 4_000, 400_000
+#: Documents of the sample for tier one, characters that one of them may have, and entries a worker's cache may hold.
+SAMPLE, SAMPLE_CHARACTERS, CACHED = 2_000, 100_000, 400_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: White space of the pattern (fixed values).
@@ -129,7 +129,7 @@ def frequent_pretokens(texts: list[str], vocabulary: str, most: int) -> list[str
     """The pre-tokens that stand in the texts more than once, the most frequent first, `most` of them."""
     found: Counter = Counter()
     for at in range(0, len(texts), 256):
-        data, offsets, _, _ = _segments(pa.array([t[:LOOKED_AT] for t in texts[at : at + 256]], pa.large_string()), _specials(vocabulary))
+        data, offsets, _, _ = _segments(pa.array(texts[at : at + 256], pa.large_string()), _specials(vocabulary))
         text, starts, *_ = pretokens(data, offsets)
         bounds = [*starts.tolist(), len(text)]
         found.update(text[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
@@ -189,7 +189,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, freque
     """docs(doc_id, text, ...) -> doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), one row per input row.
 
     Counts equal those of the `tokenizers` library for the byte-level BPE file at vocabulary_path, without begin or end
-    tokens; a special string inside a text is one token, as by the library's default. The file is read on the driver
+    tokens; a special string inside a text is one token, as by the library's default. `frequent` pre-tokens at most of
+    `sample` documents, those with the smallest hash of doc_id, are broadcast with their lengths. The file is read on the driver
     and broadcast (its size is fixed). Null and empty texts have 0 bytes and 0 tokens, repeated rows are counted each,
     a null doc_id is carried along, further columns are ignored, an empty table gives no row.
     """
@@ -201,7 +202,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, freque
         vocabulary = file.read()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    words = frequent_pretokens([r["text"] for r in hash_sample(docs.select("doc_id", "text"), sample)], vocabulary, frequent)
+    words = frequent_pretokens([r["text"] for r in hash_sample(docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARACTERS), sample)], vocabulary, frequent)
     sizes = np.array([len(c.ids) for c in Tokenizer.from_str(vocabulary).encode_batch_fast(words, add_special_tokens=False)], np.int64)
     hashes, checks = hashes_of(words) if words else (np.zeros(0, np.uint64),) * 2
     order = np.argsort(hashes)
