@@ -23,7 +23,6 @@ sql_query("flt7_org_isolation", "select c_nationkey as org_id, count(*) as calls
 sql_query("flt8_request_validation", """select d.doc_id, case when n_chars < 50 then 'text too short' when n_chars > 10000 then 'text too long' when lang not in ('en', 'es') then 'language' when coalesce(toxic, 0) = 1 then 'rejected' end as reason
 from {documents} d left join {labels} l on d.doc_id = l.doc_id""")
 sql_query("prj1_json_defaults", "select event_id, coalesce(get_json_object(props, '$.speakers.count'), '0') as speakers, coalesce(get_json_object(props, '$.k'), 'none') as k from {events}", "select event_id, coalesce(json_extract_string(props, '$.speakers.count'), '0') as speakers, coalesce(json_extract_string(props, '$.k'), 'none') as k from {events}")
-sql_query("prj3_error_codes", "select page_id, split(url, ':', 2)[0] as code, split(url, ':', 2)[1] as message from {pages}", "select page_id, split_part(url, ':', 1) as code, substr(url, strpos(url, ':') + 1) as message from {pages}")
 sql_query("prj4_progress", """select event_id, round(lo + (hi - lo) * pct / 100, 1) as progress from (select event_id, event_type, event_id % 101 as pct from {events}) e
 join (values ('click', 0.0D, 15.0D), ('view', 15.0D, 30.0D), ('purchase', 30.0D, 55.0D), ('signup', 55.0D, 85.0D), ('logout', 85.0D, 100.0D)) as s(event_type, lo, hi) using (event_type)""",
           """select event_id, round(lo + (hi - lo) * pct / 100, 1) as progress from (select event_id, event_type, event_id % 101 as pct from {events}) e
@@ -56,9 +55,6 @@ sql_query("ag5_fixed_bins", f"""select bin, coalesce(n, 0) as n from (values ('0
 left join (select {_BIN} as bin, count(*) as n from {{events}} group by 1) using (bin)""")
 sql_query("ag9_robust_baseline", """select user_id, round(m, 6) as med, round(greatest(1.4826D * percentile(abs(value - m), 0.5D), 0.001D), 6) as scale from (select *, percentile(value, 0.5D) over (partition by user_id) as m from {events}) group by user_id, m having count(*) >= 3""",
           """select user_id, round(m, 6) as med, round(greatest(1.4826::double * quantile_cont(abs(value - m), 0.5), 0.001), 6) as scale from (select *, quantile_cont(value, 0.5) over (partition by user_id) as m from {events}) group by user_id, m having count(*) >= 3""")
-sql_query("ag10_levels", """select event_type, round(p[0], 6) as p10, round(p[1], 6) as p50, round(p[2], 6) as p90, round(p[2] - p[0], 6) as snr from (select event_type, percentile(value, array(0.1D, 0.5D, 0.9D)) as p from {events} group by 1)""",
-          """select event_type, round(quantile_cont(value, 0.1), 6) as p10, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) as snr from {events} group by 1""")
-sql_query("ag11_channel_correlation", """select l_returnflag, round(corr(l_quantity, l_extendedprice), 6) as r, case when corr(l_quantity, l_extendedprice) < 0.55 then 'separate' else 'mixed' end as layout from {lineitem} group by 1""")
 sql_query("ag12_distribution", "select o_orderpriority, o_orderstatus, count(*) as n from {orders} group by 1, 2")
 sql_query("ag13_imbalance", """select round(max(n) / sum(n), 6) as top_share, max(n) / sum(n) > 0.5 or (count(*) > 1 and max(n) / greatest(min(n), 1e-9) > 8) as imbalanced from (select event_type, cast(count(*) as double) as n from {events} group by 1)""")
 sql_query("ag14_class_weights", "select label, round(w / avg(w) over (), 6) as weight from (select o_orderpriority as label, sum(count(*)) over () / cast(count(*) * count(*) over () as double) as w from {orders} group by 1)")
@@ -82,7 +78,6 @@ sql_query("ag25_language_vote", """with s as (select source, lang, cast(count(*)
 select source, case when max(case when rank = 1 then share end) < 0.6 and max(case when lang = 'es' then share end) >= 0.15 then 'es' else max(case when rank = 1 then lang end) end as lang, round(max(case when rank = 1 then share end), 6) as confidence from t group by source""")
 sql_query("ag27_rollup", "select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from {orders} group by rollup (o_orderstatus, o_orderpriority)")
 sql_query("ag27_cube_having", "select o_orderstatus, o_orderpriority, count(*) as n from {orders} group by cube (o_orderstatus, o_orderpriority) having count(*) > 100")
-sql_query("ag28_calibration_pairs", "select count(*) as n, round(regr_slope(y, x), 6) as a, round(regr_intercept(y, x), 4) as b from (select l_extendedprice as y, l_quantity as x from {lineitem} where l_extendedprice is not null and l_quantity is not null)")
 sql_query("ag30_extrema", "select user_id, max(value) as peak, max_by(event_id, struct(value, -event_id)) as peak_at, min(value) as least, min_by(event_id, struct(value, event_id)) as least_at from {events} group by 1", "select user_id, max(value) as peak, arg_max(event_id, (value, -event_id)) as peak_at, min(value) as least, arg_min(event_id, (value, event_id)) as least_at from {events} group by 1")
 sql_query("ag31_confusion_rows", f"with {_PAIRS} select truth, guess, round(count(*) / cast(sum(count(*)) over (partition by truth) as double), 6) as share from p group by 1, 2")
 
@@ -119,8 +114,6 @@ sql_query("dm7_activation", "select o_orderkey, o_custkey, case when o_orderkey
 
 sql_query("sf5_clock_to_seconds", "select event_id, aggregate(split(date_format(ts, 'HH:mm:ss'), ':'), 0D, (a, x) -> a * 60 + cast(x as double)) as seconds from {events}", "select event_id, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::double as seconds from {events}")
 sql_query("sf6_clock_format", "select event_id, format_string('%02d:%02d', cast(floor(abs(value) / 60) as bigint), cast(floor(abs(value)) as bigint) % 60) as mmss from {events}", "select event_id, format('{{:02d}}:{{:02d}}', floor(abs(value) / 60)::bigint, floor(abs(value))::bigint % 60) as mmss from events".replace("{{", "{").replace("}}", "}"))
-sql_query("sf7_label_slugs", "select p_partkey, lower(replace(trim(p_type), ' ', '_')) as slug, lower(replace(trim(p_type), ' ', '_')) rlike '^[a-z_][a-z0-9_]*$' as identifier from {part}", "select p_partkey, lower(replace(trim(p_type), ' ', '_')) as slug, regexp_full_match(lower(replace(trim(p_type), ' ', '_')), '[a-z_][a-z0-9_]*') as identifier from {part}")
-sql_query("sf8_interpretation", "select event_id, case when s <= 20 then 'very_low' when s <= 40 then 'low' when s <= 60 then 'neutral' when s <= 80 then 'high' else 'very_high' end as level from (select event_id, bround(value, 0) as s from {events})", "select event_id, case when s <= 20 then 'very_low' when s <= 40 then 'low' when s <= 60 then 'neutral' when s <= 80 then 'high' else 'very_high' end as level from (select event_id, round_even(value, 0) as s from {events})")
 sql_query("sf10_truncation", "select doc_id, substring(text, 1, 180) as t180, size(split(trim(text), '\\\\s+')) >= 3 as enough from {documents}", "select doc_id, substring(text, 1, 180) as t180, len(regexp_split_to_array(trim(text), '\\s+')) >= 3 as enough from {documents}")
 sql_query("mf3_language_match", "select doc_id, case when substring(lang, 1, 2) = 'es' then 0.7D else 0.35D end as audio_weight, case when substring(lang, 1, 2) = 'es' then 0.3D else 0.65D end as text_weight from {documents}", "select doc_id, case when substring(lang, 1, 2) = 'es' then 0.7::double else 0.35::double end as audio_weight, case when substring(lang, 1, 2) = 'es' then 0.3::double else 0.65::double end as text_weight from {documents}")
 sql_query("mf4_squashing", "select event_id, round(least(greatest(value / 50, -1), 1), 6) as clipped, round(tanh(value / 50), 6) as squashed, round(1 / (1 + exp(-1.2 * value / 50)), 6) as logistic, round(ln(1 + abs(value)), 6) as logged from {events}")
@@ -139,7 +132,6 @@ sql_query("ds1_validation", """with d as (select doc_id, quality, toxic, n_chars
 select doc_id, concat_ws(',', case when quality is null then 'missing_label' end, case when satisfaction > 100 then 'out_of_range' end, case when quality = 1 and satisfaction < 15 then 'inconsistent' end, case when toxic = 1 and satisfaction > 90 then 'inconsistent' end, case when copy > 1 then 'duplicate' end) as issues from d""",
           """with d as (select doc_id, quality, toxic, n_chars % 131 as satisfaction, row_number() over (partition by sha256(text) order by doc_id) as copy from {documents} left join {labels} using (doc_id))
 select doc_id, concat_ws(',', case when quality is null then 'missing_label' end, case when satisfaction > 100 then 'out_of_range' end, case when quality = 1 and satisfaction < 15 then 'inconsistent' end, case when toxic = 1 and satisfaction > 90 then 'inconsistent' end, case when copy > 1 then 'duplicate' end) as issues from d""")
-sql_query("ds4_stats", "select count(*) as samples, count(distinct o_custkey) as n_groups, round(sum(o_totalprice), 2) as duration, count(distinct o_orderpriority) as classes from {orders}")
 sql_query("ds5_feedback_import", "select l.doc_id, l.toxic from {labels} l left anti join (select doc_id from {documents} where lang = 'en') d on l.doc_id = d.doc_id", "select l.doc_id, l.toxic from {labels} l where l.doc_id not in (select doc_id from {documents} where lang = 'en')")
 sql_query("ds6_sampling_weights", "select doc_id, round(1 / cast(count(*) over (partition by toxic) as double), 8) as weight from {labels}")
 sql_query("tr3_model_comparison", f"with {_PAIRS} select guess, count(*) as n, round(avg(case when truth = guess then 1.0D else 0.0D end), 6) as accuracy from p group by 1".replace("1.0D", "cast(1 as double)").replace("0.0D", "cast(0 as double)"))
