@@ -109,7 +109,8 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 4) -> tuple[
     """
     classes = sorted({lang for _, lang in rows})
     number = {lang: i for i, lang in enumerate(classes)}
-    data = [(*vector(text, idf), number[lang]) for text, lang in rows]
+    # Narrow types: the driver holds all vectors of the sample at once.
+    data = [(at.astype(np.int16), value.astype(np.float32), number[lang]) for (at, value), lang in ((vector(text, idf), lang) for text, lang in rows)]
     model = Ftrl(max(1, len(classes)))
     train = [x for i, x in enumerate(data) if i % 5 or len(data) < 50]
     order = np.random.default_rng(5)
