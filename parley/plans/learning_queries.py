@@ -217,3 +217,10 @@ def sx5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sx5_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = live.into_table(spark, live.running_mean(live.read_events(spark, f"{sf_dir}/events.parquet")), "ema", "update")
     return found.groupBy("user_id").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("ema", "batch"), 4).alias("ema"))
+
+
+@query("sx3_progress")
+def sx3_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events stand for reports on a stage: their time in minutes, their value for the progress."""
+    reports = live.read_events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("call_id"), F.col("event_type").alias("stage"), (F.unix_micros("ts") / 60e6).alias("at"), F.col("value").cast("double").alias("pct"))
+    return live.into_table(spark, live.throttled_progress(reports), "progress").drop("batch")

@@ -53,6 +53,26 @@ def running_mean(events: DataFrame, alpha: float = 0.35) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
 
 
+def throttled_progress(reports: DataFrame, seconds: float = 1.5, points: float = 2.0) -> DataFrame:
+    """reports (call_id, stage, at in seconds, pct) -> those that are passed on: pct, cut to 0-100, is 100, or the last
+    one passed on is `seconds` old or differs by `points` at least. What was passed on last is state, from batch to
+    batch; reports of a batch are taken in order of time. Reports without a time or pct are left out."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_at, last_pct = state.get if state.exists else (0.0, -1.0)
+        kept = []
+        for at, pct in pd.concat(list(batches)).sort_values(["at", "pct"])[["at", "pct"]].itertuples(index=False):
+            pct = min(100.0, max(0.0, pct))
+            if pct >= 100 or at - last_at >= seconds or abs(pct - last_pct) >= points:
+                last_at, last_pct = at, pct
+                kept.append((*key, at, round(pct, 1)))
+        state.update((last_at, last_pct))
+        yield pd.DataFrame(kept, columns=["call_id", "stage", "at", "pct"])
+
+    rows = reports.where("at is not null and pct is not null and not isnan(pct)")
+    return rows.groupBy("call_id", "stage").applyInPandasWithState(update, "call_id long, stage string, at double, pct double", "at double, pct double", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_batches(stream: DataFrame, stage: Callable[[DataFrame, int], Any], checkpoint: str, mode: str = "append") -> None:
     """All that is there, batch by batch; a batch that runs again after a failure has its number again, so a stage that
     replaces what it wrote under that number is idempotent."""

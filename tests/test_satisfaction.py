@@ -125,3 +125,21 @@ def test_complete_mode_reads_the_newest_batch(spark, tmp_path):
     assert found.agg(F.sum("n")).first()[0] == 200
     sessions = live.into_table(spark, live.sessions(stream), "sessions", "complete")
     assert sessions.agg(F.sum("n")).first()[0] == 200
+
+
+def test_progress_is_throttled_across_batches(spark, tmp_path):
+    rows = [(i % 3, "vad" if i % 2 else "asr", i * 0.4, float((i * 7) % 130 - 10) if i % 5 else float(i % 101)) for i in range(240)] + [(1, "vad", None, 5.0), (1, "vad", 99.0, None)]
+    frame = spark.createDataFrame(rows, "call_id long, stage string, at double, pct double")
+    source = str(tmp_path / "reports")
+    for part in (frame.where("at < 40"), frame.where("at >= 40 or at is null")):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    got = sorted((r["call_id"], r["stage"], r["at"], r["pct"]) for r in live.into_table(spark, live.throttled_progress(stream), "progress").collect())
+    expected, last = [], {}
+    for call, stage, at, pct in sorted((r for r in rows if None not in r), key=lambda r: r[2]):
+        pct = min(100.0, max(0.0, pct))
+        then, before = last.get((call, stage), (0.0, -1.0))
+        if pct >= 100 or at - then >= 1.5 or abs(pct - before) >= 2:
+            last[call, stage] = (at, pct)
+            expected.append((call, stage, at, round(pct, 1)))
+    assert got == sorted(expected) and 0 < len(got) < 240
