@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL where SQL can express them."""
+"""The registered queries of the operators, each over its whole table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_messages, format_chats
+from .clustering import DIMENSIONS, cluster_vectors
 from .decontaminate import contamination
+from .importance import importance_sample
 from .language_id import identify_languages
 from .licenses import license_scan
 from .line_dedup import duplicate_lines
 from .mixing import LANGUAGES, TOPICS, mix
 from .near_dedup import near_duplicates
 from .shared import read
+from .substring_dedup import drop_repeats
 from .token_counts import token_counts
 from .topk import top_k
 from .toxicity import toxicity
@@ -174,6 +177,72 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(read(spark, sf_dir, "documents"), n=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+v as materialized (select r, i, md5_number(array_to_string(w[i:i + 34], ' ')) as g from (select r, w, unnest(generate_series(1, len(w) - 34)) as i from d where len(w) >= 35)),
+again as (select r, i from v join (select g from v group by g having count(*) > 1) using (g)),
+gone as (select r, list(distinct p) as p from (select r, unnest(generate_series(i, i + 34)) as p from again) group by r),
+kept as (select d.doc_id, d.w, coalesce(p, []) as p, [x for x, i in d.w if not list_contains(coalesce(p, []), i)] as k from d left join gone using (r))
+select doc_id, len(w)::bigint as n_words, len(p)::bigint as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+"""
+
+
+def op12_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), most=1, buckets=10_000, seed=2024, percent=10, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: DuckDB has no crc32, so its table for each byte is worked out first, and words are folded byte by byte.
+OP12_SQL = f"""
+with recursive bits as (select i, 0 as step, i::bigint as c from range(256) as t(i)
+  union all select i, step + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from bits where step < 8),
+t as materialized (select list(c order by i) as t from bits where step = 8),
+d as materialized (select row_number() over () as r, doc_id, {_ALNUM_WORDS} as w from documents),
+b as materialized (select {_ALNUM_WORDS} as w from benchmark),
+known as (select distinct unnest(w) as word from (select w from d union all select w from b)),
+hexed as (select word, hex(encode(word)) as x from known),
+crc as materialized (select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i::int + 1, 2))::bigint)),
+  lambda c, byte: xor(c // 256, t[xor(c, byte) % 256 + 1])), 4294967295::bigint) % 10000 as bucket from hexed, t),
+dw as materialized (select r, bucket from (select r, unnest(w) as word from d) join crc using (word)),
+s as (select bucket, count(*) as s from dw group by 1),
+tt as (select bucket, count(*) as t from (select unnest(w) as word from b) join crc using (word) group by 1),
+g as materialized (select k as bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * ((select count(*) from dw) + 10000) / ((coalesce(s, 0) + 1.0::double) * (coalesce((select sum(t) from tt), 0)::double + 10000))))::bigint as gain
+  from range(10000) as x(k) left join s on s.bucket = k left join tt on tt.bucket = k),
+m as (select r, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight from dw join g using (bucket) group by r),
+h as (select d.doc_id, len(w) as words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h from d left join m using (r)),
+scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from h),
+o as (select *, words >= 20 and doc_id is not null as may, row_number() over (partition by words >= 20 and doc_id is not null order by score desc, doc_id) as place, sum((words >= 20 and doc_id is not null)::int) over () as n from scored)
+select doc_id, n_features::bigint as n_features, weight, score, case when may and place <= 10 * n // 100 then place end::bigint as rank from o
+"""
+
+
+def op13_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    steps = []
+    for number in range(rounds + 1):
+        steps.append(f"""near{number} as materialized (select r, min({{'d': list_sum([(q[i] - c[i]) * (q[i] - c[i]) for i in range(1, {DIMENSIONS + 1})])::bigint, 'k': k}}) as m from v, c{number} group by r)""")
+        if number < rounds:
+            steps.append(f"""mean{number} as (select k, list(x order by i) as c from (select m.k as k, i, floor(sum(q[i])::hugeint / count(*))::bigint as x from near{number} join v using (r), range(1, {DIMENSIONS + 1}) as t(i) group by all) group by k),
+c{number + 1} as materialized (select k, coalesce(mean{number}.c, c{number}.c) as c from c{number} left join mean{number} using (k))""")
+    return f"""
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where len(embedding) = {DIMENSIONS} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select row_number() over (order by o, q) - 1 as k, q as c from (select sha256('{seed}:' || vec_id) as o, q from v where vec_id is not null order by o, q limit {k})),
+{", ".join(steps)}
+select vec_id, m.k::int as cluster, m.d as distance, (sum(m.d) over (partition by m.k))::bigint as cluster_inertia, (sum(m.d) over ())::bigint as inertia,
+       sha256(array_to_string(c, ',')) as centroid_sha256
+from near{rounds} join v using (r) join c{rounds} on c{rounds}.k = m.k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -187,8 +256,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_mixing": op9_mixing,
         "op10_license_scan": op10_license_scan,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_importance_sample": op12_importance_sample,
+        "op13_cluster_vectors": op13_cluster_vectors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_top_k": OP6_SQL, "op7_chat_format": OP7_SQL, "tool_call_chats": TOOL_CALL_SQL, "op9_mixing": _mix_sql()}
+    return {"op1_decontaminate": OP1_SQL, "op6_top_k": OP6_SQL, "op7_chat_format": OP7_SQL, "tool_call_chats": TOOL_CALL_SQL, "op9_mixing": _mix_sql(), "op11_substring_dedup": OP11_SQL, "op12_importance_sample": OP12_SQL, "op13_cluster_vectors": _cluster_sql()}

@@ -47,6 +47,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that `stored` wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {path.rpartition("/")[0] for path in table.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("table-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Let the cluster drop shuffle files and checkpoints of steps that nothing refers to any more; it does so when the
     driver collects garbage."""
