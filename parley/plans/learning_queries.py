@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..config import LABELS
 from ..functions import text as tf
 from ..operators import learning, series
-from ..sources import audio
 from ..streaming import live
 from . import fixtures
 from .registry import query, table
@@ -36,6 +35,14 @@ def ds3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count_if(F.col("n") > 1).alias("leaking_groups"), F.count(F.lit(1)).alias("groups"))
 
 
+@query("ml1_boosted_trees")
+def ml1_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten boosted trees of depth 3 on lineitem, three folds by order: the metrics of rows that were left out."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_orderkey")
+    _, metrics = learning.train_regressor(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "l_orderkey", "boosted", folds=3, iterations=10)
+    return spark.createDataFrame([tuple(metrics[c] for c in ("mae", "rmse", "r2", "pearson", "n", "cv"))], "mae double, rmse double, r2 double, pearson double, n long, cv string")
+
+
 @query("ml1_ridge_folds")
 def ml1_ridge_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.ridge_by_folds(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "l_orderkey")
@@ -88,26 +95,6 @@ def au2_audio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", rounded(learning.audio_quality(F.col("snr"), F.col("clipping"), F.col("level"), F.col("speech"), rate), 4).alias("quality"))
 
 
-def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of a second of a tone for each vector: 100 Hz and 20 more per label."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["vec_id"], "samples": [audio.tone(100 + 20 * label, 0.1) for label in batch["label"]]})
-
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label").mapInPandas(each, "id long, samples array<float>")
-
-
-@query("au3_prosody")
-def au3_prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.prosody(_tones(spark, sf_dir), 16000)
-
-
-@query("au4_augmentation")
-def au4_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.augment(_tones(spark, sf_dir)).select("id", F.size("samples").alias("n"), F.array_max("samples").alias("peak"))
-
-
 @query("au5_sample_validation", """select doc_id, sha1(coalesce(text, '')) as fingerprint, case when text is null then 'corrupt' when length(text) < 40 then 'too_short' when length(text) > 20000 then 'too_long' else 'ok' end as verdict from documents""")
 def au5_sample_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
@@ -115,24 +102,6 @@ def au5_sample_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("fingerprint"), verdict.alias("verdict"))
 
 
-@query("src1_audio_probe")
-def src1_audio_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.probe(_wavs(spark, sf_dir))
-
-
-@query("src2_audio_blocks")
-def src2_audio_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.blocks(_wavs(spark, sf_dir), 0.04).select("path", "offset_s", "channel", F.size("samples").alias("n"))
-
-
-def _wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"path": [f"{i}.wav" for i in batch["id"]], "content": [audio.wav_bytes(np.asarray(x)) for x in batch["samples"]]})
-
-    return _tones(spark, sf_dir).mapInPandas(each, "path string, content binary")
-
-
 @query("ud1_model_plugin")
 def ud1_model_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An emotion model as an iterator UDF: it is loaded once a worker; the stand-in takes softmax over text features."""

@@ -143,14 +143,6 @@ def test_repeats_collapse(spark):
     assert [r["s"] for r in rows] == ["si ya", "no no no", "a b"]
 
 
-def test_split_has_no_leaks_and_spreads_classes(spark):
-    rows = [(i, f"p{i // 8}", "abc"[(i // 8 + i) % 3]) for i in range(240)] + [(999, None, "a")]
-    found = learning.group_stratified_split(spark.createDataFrame(rows, "id long, who string, label string"), "who", "label", {"train": 0.7, "validation": 0.15, "test": 0.15})
-    assert found.count() == 241 and learning.leaks(found, "who").count() == 0
-    n = {(r["split"], r["label"]): r["n"] for r in found.groupBy("split", "label").agg(F.count("*").alias("n")).collect()}
-    assert len(n) == 9 and all(0.65 < n["train", x] / sum(v for (_, y), v in n.items() if y == x) < 0.75 for x in "abc")
-
-
 def test_regression_and_calibration(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 3))
@@ -168,21 +160,6 @@ def test_reconcile(spark):
     assert [r["speaker"] for r in series.reconcile(rows, ["c"], "i", "v").orderBy("i").collect()] == [0, 0, 1, 1, 0]
 
 
-def test_audio(spark, tmp_path):
-    wav = audio.wav_bytes(audio.tone(220, 3.0))
-    (tmp_path / "a.wav").write_bytes(wav)
-    (tmp_path / "bad.wav").write_bytes(b"nothing")
-    (tmp_path / "b.txt").write_bytes(wav)
-    found = {r["path"].split("/")[-1]: r for r in audio.probe(audio.files(spark, str(tmp_path))).collect()}
-    assert set(found) == {"a.wav", "bad.wav"} and found["a.wav"]["duration"] == 3.0 and found["a.wav"]["sample_rate"] == 16000 and found["bad.wav"]["error"]
-    rows = audio.blocks(audio.files(spark, str(tmp_path / "a.wav")), 1.25).select("offset_s", F.size("samples").alias("n")).orderBy("offset_s").collect()
-    assert [(r["offset_s"], r["n"]) for r in rows] == [(0, 20_000), (1.25, 20_000), (2.5, 8_000)]
-    tone = spark.createDataFrame([(1, audio.tone(220, 0.5).tolist()), (2, [0.0] * 8000), (3, [])], "id long, samples array<float>")
-    prosody = {r["id"]: r for r in audio.prosody(tone, 16000).collect()}
-    assert abs(prosody[1]["f0_mean"] - 220) < 5 and prosody[2]["pause_ratio"] == 1 and prosody[2]["f0_mean"] is None
-    assert audio.augment(tone).collect() == audio.augment(tone).collect()
-
-
 def test_partitions_are_replaced(spark, tmp_path):
     path = str(tmp_path / "t")
     for rows in ([(1, "a"), (2, "a")], [(2, "b")], [(2, "b")]):
