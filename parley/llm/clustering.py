@@ -136,7 +136,7 @@ def cluster_vectors(vectors: DataFrame, k: int = 40, rounds: int = 5, seed: int
     empty table, or one without any start, gives no row. Other columns are ignored, whatever their names.
 
     distance is the squared distance to the final centroid, cluster_inertia and inertia its sums over the cluster and
-    over all; a distance of 2**63 or more is null and left out of the sums.
+    over all; a distance of 2**63 or more is null and left out of the sums, and such a sum is null too.
     """
     spark = vectors.sparkSession
     kept = vectors.select(F.col("vec_id"), scaled(F.col("embedding")).alias("q")).where("q is not null")
@@ -152,12 +152,13 @@ def cluster_vectors(vectors: DataFrame, k: int = 40, rounds: int = 5, seed: int
         for r in each.collect():  # k centroids of 64 components at most
             centroids[r.cluster][r.i] = int(r.s) // r.n
     assigned = kept.mapInArrow(_assign(centroids), f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, cluster int, distance long")
-    inertia = {r.cluster: r.s for r in assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).cast("long").alias("s")).collect()}
+    inertia = {r.cluster: int(r.s or 0) for r in assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
     digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
-    facts = spark.createDataFrame([(i, inertia.get(i), digests[i]) for i in range(len(centroids))], "cluster int, cluster_inertia long, centroid_sha256 string")
-    total = sum(x or 0 for x in inertia.values())
+    fits = lambda x: x if x <= _LONG else None
+    facts = spark.createDataFrame([(i, fits(inertia.get(i, 0)), digests[i]) for i in range(len(centroids))], "cluster int, cluster_inertia long, centroid_sha256 string")
+    total = fits(sum(inertia.values()))
     return assigned.join(F.broadcast(facts), "cluster").select(
-        "vec_id", "cluster", "distance", "cluster_inertia", F.lit(total if total <= _LONG else None).cast("long").alias("inertia"), "centroid_sha256"
+        "vec_id", "cluster", "distance", "cluster_inertia", F.lit(total).cast("long").alias("inertia"), "centroid_sha256"
     )
 
 
