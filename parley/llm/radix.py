@@ -63,22 +63,26 @@ def _place(columns: list[str], position: str, block: int):
 def radix_sort(rows: DataFrame, keys: list[str], position: str = "position", block: int = BLOCK) -> DataFrame:
     """rows with their place (0, 1, 2 ...) in the ascending order of the long columns `keys`, the first one weighing most.
 
-    Keys are not null. Rows with equal keys get neighbouring places in any order. Digits in which all rows agree take no
-    pass. Each pass cuts the lineage, so a lost executor costs one pass at most. No row in, no row out.
+    Keys are not null. Rows with equal keys get neighbouring places in any order. There are as many passes as the keys' ranges
+    have digits. Each pass cuts the lineage, so a lost executor costs one pass at most. No row in, no row out.
     """
     columns = rows.columns
-    bias = {k: f"_{k}_bits" for k in keys}
-    # With the sign flipped, the order of the bits as an unsigned number is the order of the key.
-    table = numbered(rows.withColumns({b: F.col(k).cast("long").bitwiseXOR(F.lit(-(1 << 63))) for k, b in bias.items()}), position)
-    differ = table.agg(*(x for k in keys for x in (F.bit_or(bias[k]), F.bit_and(bias[k])))).first()
-    carried = [*columns, *bias.values()]
+    of = {k: f"_{k}_bits" for k in keys}
+    table = numbered(rows, position)
+    range_ = table.agg(*(f(F.col(k).cast("long")) for k in keys for f in (F.min, F.max))).first()
+    # Counted from the smallest key, numbers need few digits; over too wide a range, the sign is flipped instead. Either way
+    # the order of the bits as an unsigned number is that of the key.
+    bits = {}
+    for i, k in enumerate(keys):
+        low, high = range_[2 * i] or 0, range_[2 * i + 1] or 0
+        narrow = high - low < 1 << 63
+        table = table.withColumn(of[k], F.col(k).cast("long") - F.lit(low).cast("long") if narrow else F.col(k).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
+        bits[k] = (high - low).bit_length() if narrow else 64
+    carried = [*columns, *of.values()]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*carried, position).schema)
-    for i, key in reversed(list(enumerate(keys))):
-        bits = ((differ[2 * i] or 0) ^ (differ[2 * i + 1] or 0)) & ((1 << 64) - 1)
-        for shift in range(0, 64, DIGIT):
-            if not bits >> shift & ((1 << DIGIT) - 1):
-                continue
-            dealt = table.withColumns({"_block": F.floor(F.col(position) / block), "_digit": _digit(bias[key], shift)})
+    for key in reversed(keys):
+        for shift in range(0, bits[key], DIGIT):
+            dealt = table.withColumns({"_block": F.floor(F.col(position) / block), "_digit": _digit(of[key], shift)})
             counts = cut(dealt.groupBy("_block", "_digit").agg(F.count(F.lit(1)).alias("_n")))
             total, smaller = 0, [0] * (1 << DIGIT)
             for digit, n in sorted(counts.groupBy("_digit").agg(F.sum("_n")).collect()):  # one row a digit value
