@@ -40,6 +40,8 @@ def _shares(cells: DataFrame, targets: dict[str, dict[str, float] | None]) -> di
         value = F.coalesce(F.col(dimension).cast("string"), F.lit(""))
         named = F.lit(1.0) if target is None else F.coalesce(*(F.when(value == k, F.lit(float(v))) for k, v in target.items()))
         own = cells.where("tokens > 0").groupBy(dimension).agg(F.sum("tokens").alias("tokens")).agg(F.sum(named), F.sum(F.when(named.isNull(), F.col("tokens")))).first()
+        if total and target is not None and own[0] is None:
+            raise ValueError(f"no value of {dimension} has a target: {sorted(target)}")
         left = 1.0 - (own[1] or 0) / total if total else 1.0
         kept = F.sum("tokens").over(Window.partitionBy(dimension)) / F.lit(float(total or 1))
         shares[dimension] = F.coalesce(named / F.lit(float(own[0] or 1.0)) * F.lit(left), kept)
@@ -63,7 +65,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
 
     A dimension's target maps its values to shares; None means equal shares for the values that occur. Values without a
     target keep the share of tokens that they have, and the named ones share the rest; targets of values that do not
-    occur are left out and the others grow in proportion. Null is a value of its own, named "" in a target.
+    occur are left out and the others grow in proportion, but targets of which no value occurs are refused with a
+    ValueError. Null is a value of its own, named "" in a target.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     out = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
@@ -80,10 +83,12 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], sweeps:
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float] | None], topic: Column | None = None, sweeps: int = 12, rate: float = 0.5) -> DataFrame:
-    """docs(doc_id, text, source, lang, ...) -> the columns of docs with n_tokens, topic, weight, probability and
-    sampled; a column of docs that has one of these names gives way to it.
+    """docs(doc_id, text, source, lang, ...) -> the columns of docs with n_tokens, topic, weight, probability, residual and
+    sampled; a column of docs that has one of these names gives way to it, but for a topic, which is used.
 
-    targets: see rake(); its keys are columns of docs or "topic" (topic's default: bands of length). A document's
+    targets: see rake(); its keys are columns of docs or "topic". A topic is the argument of that name, else the column
+    topic of docs, else a band of length. residual is what raking left: the largest gap between any value's share of
+    weighted tokens and its target, the same in every row. A document's
     weight is that of its cell, on average 1 over all tokens; probability is rate * weight, 1 at most, so the sample
     has about `rate` of all tokens however rare a cell is, and where a cell is too rare for its share weight /
     probability is the importance that its documents keep. sampled holds if a hash of doc_id falls below probability,
@@ -92,8 +97,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | None], topic: Col
     """
     tokens = n_tokens(F.col("text").cast("string"))
     counted = docs.withColumn("n_tokens", tokens)
-    counted = counted.withColumn("topic", length_topic(F.col("n_tokens")) if topic is None else topic)
-    counted = counted.drop("weight", "probability", "sampled")
+    if topic is not None or "topic" not in (c.lower() for c in docs.columns):
+        counted = counted.withColumn("topic", length_topic(F.col("n_tokens")) if topic is None else topic)
+    counted = counted.drop("weight", "probability", "residual", "sampled")
     dimensions = list(targets)
     cells = cut(counted.groupBy(*dimensions).agg(F.sum("n_tokens").alias("tokens")))
     raked = cut(rake(cells, targets, sweeps))
@@ -102,5 +108,6 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | None], topic: Col
     same = [F.col(d).eqNullSafe(F.col(of[f"of_{d}"])) for d in dimensions]
     joined = counted.join(F.broadcast(of_cell) if of_cell.count() <= MOST_BROADCAST else of_cell, same, "left")
     out = joined.withColumn("weight", F.col(of["of_weight"])).withColumn("probability", F.least(F.lit(1.0), F.lit(rate) * F.col("weight")))
+    out = out.withColumn("residual", F.lit(float(largest_error(raked, targets))))
     out = out.withColumn("sampled", F.coalesce(unit(F.col("doc_id")) < F.col("probability"), F.lit(False)))
     return out.drop(*of.values())

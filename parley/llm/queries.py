@@ -138,7 +138,7 @@ MIX_TARGETS = {"source": None, "lang": LANGUAGES, "topic": TOPICS}
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"), MIX_TARGETS)
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), F.round("residual", 6).alias("residual"), "sampled")
 
 
 def _mix_sql(sweeps: int = 12, rate: float = 0.5) -> str:
@@ -162,10 +162,11 @@ t as (select *, case when n_tokens < 150 then 'brief' when n_tokens < 600 then '
 cells as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens from t group by all),
 c0 as (select *, case when tokens > 0 then 1.0::double else 0.0::double end as w from cells),
 {", ".join(steps)},
+gap as (select round(coalesce(greatest({", ".join(f"max(g_{d})" for d in given)}), 0), 6) as residual from (select {", ".join(f"abs(sum(w * tokens) over (partition by {d}) / sum(w * tokens) over () - {shares[d]}) as g_{d}" for d in given)} from {last} where tokens > 0)),
 p as (select source, lang, topic, w, least(1.0::double, {rate}::double * w) as p from {last})
-select doc_id, t.source, t.lang, t.topic, n_tokens, round(w, 6) as weight, round(p, 6) as probability,
+select doc_id, t.source, t.lang, t.topic, n_tokens, round(w, 6) as weight, round(p, 6) as probability, residual,
        ('0x' || substr(md5('mix-' || doc_id), 1, 8))::bigint / 4294967296.0::double < p as sampled
-from t join p on t.source is not distinct from p.source and t.lang is not distinct from p.lang and t.topic = p.topic
+from t cross join gap join p on t.source is not distinct from p.source and t.lang is not distinct from p.lang and t.topic = p.topic
 """
 
 

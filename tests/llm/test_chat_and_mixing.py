@@ -6,6 +6,7 @@ import json
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parley.llm.chat import chat_messages, format_chats
@@ -153,6 +154,21 @@ def test_mix_edges(spark):
     assert mix(odd.limit(0), MIX_TARGETS).count() == 0
 
 
+def test_a_topic_of_the_documents_is_used_and_unmatched_targets_are_refused(spark):
+    docs = docs_of(spark, [(i, "some words here " * (1 + i % 9)) for i in range(400)]).selectExpr("*", "case when doc_id % 4 = 0 then 'a' else 'b' end as topic", "7 as residual")
+    found = mix(docs, {"topic": {"a": 0.5, "b": 0.5}}, rate=0.5)
+    share = {r["topic"]: r["w"] for r in found.groupBy("topic").agg(F.sum(F.col("weight") * F.col("n_tokens")).alias("w")).collect()}
+    assert set(share) == {"a", "b"} and share["a"] == pytest.approx(share["b"], rel=1e-6)
+    assert [r["residual"] for r in found.select("residual").distinct().collect()] == [pytest.approx(0, abs=1e-9)]
+    given = mix(docs, {"topic": {"x": 0.5, "y": 0.5}}, topic=F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y"))
+    assert {r["topic"] for r in given.select("topic").distinct().collect()} == {"x", "y"}
+    with pytest.raises(ValueError, match="no value of topic"):
+        mix(docs, {"topic": {"brief": 0.5, "long": 0.5}})
+    # Two marginals that can't both be met leave a gap, and it is told.
+    odd = docs.selectExpr("doc_id", "text", "topic", "topic as source")
+    assert mix(odd, {"topic": {"a": 0.5, "b": 0.5}, "source": {"a": 0.9, "b": 0.1}}).first()["residual"] == pytest.approx(0.4, abs=0.01)
+
+
 def test_values_without_a_target_keep_their_share(spark):
     cells = spark.createDataFrame([("en", 600), ("de", 200), ("pl", 150), (None, 50)], "lang string, tokens long")
     got = {r["lang"]: r["weight"] * r["tokens"] / 1000 for r in rake(cells, {"lang": LANGUAGES}).collect()}

@@ -225,7 +225,7 @@ def test_clusters_against_loops(spark, k, rounds, seed):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(6, 64))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 6] * 0.4 + rng.normal(size=64) * 0.1]) for i in range(150)]
-    rows += [(7, rows[7][1]), (500, [0.0] * 64), (501, [0.0] * 64), (600, None), (601, [1.0] * 63), (602, [1.0] * 65), (603, [float("nan")] * 64), (604, [float("inf")] + [0.0] * 63), (605, [None] + [0.0] * 63), (606, []), (None, [0.25] * 64), (607, [3e6] + [-2e6] * 63)]
+    rows += [(7, rows[7][1]), (500, [0.0] * 64), (501, [0.0] * 64), (600, None), (601, [1.0] * 63), (602, [1.0] * 65), (603, [float("nan")] * 64), (604, [float("inf")] + [0.0] * 63), (605, [None] + [0.0] * 63), (606, []), (None, [0.25] * 64), (607, [3e5] + [-2e5] * 63)]
     found = clustering.cluster_vectors(vectors(spark, rows).repartition(5), k, rounds, seed).collect()
     assert sorted(map(tuple, found), key=repr) == clustered(rows, k, rounds, seed)
 
