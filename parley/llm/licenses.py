@@ -3,7 +3,8 @@
 In a template, `[[...]]` encloses wording that may be missing and `<<n>>` stands for up to n words of any kind. All
 other wording is mandatory and must stand in the text word for word (A-Z lower-cased, punctuation and layout ignored).
 A text is looked at only around the places where the template's longest mandatory run stands; these are found for all
-texts of a batch at once by comparing word hashes.
+texts of a batch at once by comparing word hashes, and every place found is then compared word by word: nothing is
+accepted by a hash alone.
 """
 
 from __future__ import annotations
@@ -22,8 +23,38 @@ from .shared import small_batches
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Short notices and the grants of well-known licenses, as templates.
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY <<12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL <<12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_TWO_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "[[1.]] Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "[[2.]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+
+#: Short notices, and the wording of well-known licenses, as templates.
 TEMPLATES = {
+    "bsd-2-clause-text": _TWO_CLAUSES + _AS_IS,
+    "bsd-3-clause-text": _TWO_CLAUSES + "[[3.]] Neither the name of <<12>> nor the names of [[its]] [[the]] contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS,
+    "isc-text": (
+        "Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND <<8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL <<8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL <<8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."
+    ),
     "apache-2.0": "licensed under the Apache License, Version 2.0 [[(the \"License\"); you may not use this file except in compliance with the License]]",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "[[this work is]] licensed under [[a]] [[the]] CC BY 4.0 [[International]] [[License]]",
@@ -36,27 +67,35 @@ TEMPLATES = {
 }
 
 
-def word_hashes(text: str) -> list[int]:
-    data = np.frombuffer(text.encode(), np.uint8)
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(data: bytes) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return _WORD.findall(data.lower())  # of bytes, lower() changes A-Z only
+
+
+def word_hashes(words: list[bytes]) -> list[int]:
+    data = np.frombuffer(b" ".join(words), np.uint8)
     return arrays.Words(data, np.array([0, len(data)]), arrays.ALNUM_WORD).hashes.tolist()
 
 
 def compile_template(template: str) -> list[tuple]:
-    """Steps of the automaton: ("word", hash), ("maybe", steps) or ("any", most words)."""
+    """Steps of the automaton: ("word", word), ("maybe", steps) or ("any", most words)."""
     steps: list[tuple] = []
     for maybe, most, plain in re.findall(r"\[\[(.*?)\]\]|<<(\d+)>>|((?:(?!\[\[|<<).)+)", template, re.DOTALL):
         if most:
             steps.append(("any", int(most)))
         elif maybe:
-            steps.append(("maybe", [("word", h) for h in word_hashes(maybe)]))
+            steps.append(("maybe", [("word", w) for w in words_of(maybe.encode())]))
         else:
-            steps += [("word", h) for h in word_hashes(plain)]
+            steps += [("word", w) for w in words_of(plain.encode())]
     if not any(kind == "word" for kind, _ in steps):
         raise ValueError("a template needs mandatory wording")
     return steps
 
 
-def ends(steps: list[tuple], words: np.ndarray, starts: set[int]) -> set[int]:
+def ends(steps: list[tuple], words: list[bytes], starts: set[int]) -> set[int]:
     """Where the automaton can stand after all steps, from any of the starts."""
     at = starts
     for kind, what in steps:
@@ -71,7 +110,7 @@ def ends(steps: list[tuple], words: np.ndarray, starts: set[int]) -> set[int]:
     return at
 
 
-def _anchor(steps: list[tuple]) -> tuple[list[int], int, int]:
+def _anchor(steps: list[tuple]) -> tuple[list[bytes], int, int]:
     """The longest mandatory run, and the fewest and most words that stand before it."""
     best, run, low, high, at = ([], 0, 0), [], 0, 0, (0, 0)
     for kind, what in [*steps, ("end", 0)]:
@@ -88,7 +127,7 @@ def _anchor(steps: list[tuple]) -> tuple[list[int], int, int]:
 
 
 def places(words: arrays.Words, phrase: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Text and start word (counted over all texts) of every place where the phrase stands inside one text."""
+    """Text and start word (counted over all texts) of every place where words with the phrase's hashes stand in one text."""
     h, k = words.hashes, len(phrase)
     if len(h) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -103,31 +142,43 @@ def places(words: arrays.Words, phrase: list[int]) -> tuple[np.ndarray, np.ndarr
 
 def _scan(phrases: dict[str, str], templates: dict[str, str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = [(label, word_hashes(phrase)) for phrase, label in phrases.items()]
-        compiled = [(label, steps, _anchor(steps)) for label, steps in ((x, compile_template(t)) for x, t in templates.items())]
+        base = [(label, w, word_hashes(w)) for label, w in ((label, words_of(phrase.encode())) for phrase, label in phrases.items())]
+        compiled = [(label, steps, *_anchor(steps)) for label, steps in ((x, compile_template(t)) for x, t in templates.items())]
+        compiled = [(label, steps, run, word_hashes(run), low, high) for label, steps, run, low, high in compiled]
         for batch in arrays.slices(batches):
-            words = arrays.Words(*arrays.text_bytes(batch.column(1)), arrays.ALNUM_WORD)
+            data, offsets = arrays.text_bytes(batch.column(1))
+            words = arrays.Words(data, offsets, arrays.ALNUM_WORD)
+            split: dict[int, list[bytes]] = {}
+
+            def own(i: int, data=data, offsets=offsets, split=split) -> list[bytes]:
+                """The words of a text in which something was found."""
+                if i not in split:
+                    split[i] = words_of(data[offsets[i] : offsets[i + 1]].tobytes())
+                return split[i]
+
+            def said(wanted: list[bytes], hashes: list[int], words=words, own=own) -> tuple[np.ndarray, np.ndarray]:
+                """Texts and places (from 0 in each text) where the wanted words stand."""
+                text, at = places(words, hashes)
+                at = at - words.first[text]
+                right = np.array([own(i)[a : a + len(wanted)] == wanted for i, a in zip(text.tolist(), at.tolist(), strict=True)], bool)
+                return text[right], at[right]
+
             rows = batch.num_rows
             n_base = np.zeros(rows, np.int64)
             first = np.full(rows, np.iinfo(np.int64).max)
             last = np.full(rows, -1)
             base_labels: list[set] = [set() for _ in range(rows)]
             labels: list[set] = [set() for _ in range(rows)]
-            for label, phrase in base:
-                text, at = places(words, phrase)
-                at = at - words.first[text]
+            for label, phrase, hashes in base:
+                text, at = said(phrase, hashes)
                 np.add.at(n_base, text, 1)
                 np.minimum.at(first, text, at)
                 np.maximum.at(last, text, at)
                 for i in np.unique(text).tolist():
                     base_labels[i].add(label)
-            for label, steps, (run, low, high) in compiled:
-                for i, at in zip(*(x.tolist() for x in places(words, run)), strict=True):
-                    if label in labels[i]:
-                        continue
-                    own = words.hashes[words.first[i] : words.first[i + 1]]
-                    at -= int(words.first[i])
-                    if ends(steps, own, set(range(max(0, at - high), at - low + 1))):
+            for label, steps, run, hashes, low, high in compiled:
+                for i, at in zip(*(x.tolist() for x in said(run, hashes)), strict=True):
+                    if label not in labels[i] and ends(steps, own(i), set(range(max(0, at - high), at - low + 1))):
                         labels[i].add(label)
             none = n_base == 0
             yield pa.RecordBatch.from_arrays(
