@@ -16,9 +16,17 @@ def _ordered(rows: DataFrame, name: str, order: list[str], *columns: Column | st
     return lists.select("call_id", F.col("l.x").alias(name))
 
 
-def call_documents(calls: DataFrame, speakers: DataFrame, segments: DataFrame, utterances: DataFrame, emotions: DataFrame, scores: DataFrame, timeline: DataFrame, events: DataFrame, config: dict) -> DataFrame:
+def call_documents(calls: DataFrame, speakers: DataFrame, segments: DataFrame, utterances: DataFrame, emotions: DataFrame, scores: DataFrame, timeline: DataFrame, events: DataFrame, config: dict,
+                   model: DataFrame | None = None, interaction: DataFrame | None = None, confidence: DataFrame | None = None, redact: bool = False, exported_at: str | None = None) -> DataFrame:
     """One row per call: call (its columns), speakers, segments, transcription, emotions, satisfaction (a speaker's score,
-    components, metrics and timeline), events, config and notice. What a call has none of is an empty list."""
+    components, metrics and timeline), events, model, interaction, confidence, config, redacted, exported_at and notice.
+
+    What a call has none of is an empty list; model, interaction and confidence, one row a call each, are null for calls
+    without one. With redact, text_redacted stands for the text of utterances that have one. exported_at is the time of
+    the query, in UTC, unless it is given.
+    """
+    if redact:
+        utterances = utterances.withColumn("text", F.coalesce("text_redacted", "text"))
     line = timeline.groupBy("call_id", "speaker").agg(F.array_sort(F.collect_list(F.struct(F.round("t", 2).alias("t"), F.round("score", 2).alias("score")))).alias("timeline"))
     scored = scores.join(line, ["call_id", "speaker"], "left")
     parts = [
@@ -33,6 +41,14 @@ def call_documents(calls: DataFrame, speakers: DataFrame, segments: DataFrame, u
     for part in parts:
         name = part.columns[1]
         out = out.join(part, "call_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    for name, one in (("model", model), ("interaction", interaction), ("confidence", confidence)):
+        if one is None:
+            out = out.withColumn(name, F.lit(None).cast("string"))
+        else:
+            known = one.select(F.col("call_id"), F.struct(*(c for c in one.columns if c != "call_id")).alias(name))
+            out = out.join(known, "call_id", "left")
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if exported_at is None else F.lit(exported_at)
+    out = out.withColumns({"redacted": F.lit(redact), "exported_at": now})
     return out.withColumn("config", F.lit(json.dumps(config, sort_keys=True))).withColumn("notice", F.lit(NOTICE))
 
 

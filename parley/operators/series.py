@@ -151,6 +151,22 @@ def interaction_satisfaction(scores: DataFrame) -> DataFrame:
     return g.withColumn("trend", F.when(F.col("variation") > turn, "improving").when(F.col("variation") < -turn, "declining").otherwise("stable"))
 
 
+def analysis_quality(audio: Column, speech_ratio: Column, valid_windows: Column, model_confidence: Column, diarization: Column, word_confidence: Column, mismatch: Column | None = None) -> tuple[Column, Column]:
+    """(quality from 0 to 100, whether it is low) of a call's analysis.
+
+    audio and diarization are from 0 to 100, the others are shares. Speech is full at a share of .4; the model's confidence
+    counts from .3 to .8, less where the model is made for another language. A null diarization, that of a call with one
+    speaker, drops out with its weight; other parts that are null count 0.
+    """
+    settings = DEFAULTS["analysis_quality"]
+    unit = lambda x: F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 100
+    model = unit((model_confidence - 0.3) / 0.5)
+    if mismatch is not None:
+        model = F.when(F.coalesce(mismatch, F.lit(False)), settings["mismatch"] * model).otherwise(model)
+    quality = weighted_quality({"audio": F.coalesce(audio, F.lit(0.0)), "speech": unit(speech_ratio / 0.4), "segments": unit(valid_windows), "model": model, "diarization": diarization, "transcription": unit(word_confidence)})
+    return quality, quality < settings["low"]
+
+
 def weighted_quality(parts: dict[str, Column]) -> Column:
     """Weighted mean of the parts that are not null."""
     weights = DEFAULTS["analysis_quality"]["weights"]

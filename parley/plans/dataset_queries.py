@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import requests
 from ..sources import archives, blocks, versions
 from ..streaming import live, stages
 from .registry import query, table
@@ -89,3 +90,29 @@ def sx1_stage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of a call's stages, with stages that were silent for a day failed by a timer."""
     found = live.into_table(spark, stages.stage_states(stage_reports(spark, sf_dir), silence=86_400.0), "stages")
     return found.drop("batch").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("flt3_sample_search", """select doc_id, lang as emotion from documents left join labels using (doc_id) where source = (select min(source) from documents) and (length(text) < 200 or text is null or quality is null)""")
+def flt3_sample_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as samples, their source for a split and their language for an emotion: those of one split with issues."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    issues = F.array_compact(F.array(F.when(F.length("text") < 200, "too_short"), F.when(F.col("text").isNull(), "corrupt"), F.when(F.col("quality").isNull(), "unlabelled")))
+    samples = docs.join(labels, "doc_id", "left").select("doc_id", F.col("source").alias("split"), F.col("lang").alias("emotion"), issues.alias("issues"))
+    first = docs.agg(F.min("source")).first()[0]
+    return requests.sample_filters(samples, split=first, with_issues=True).select("doc_id", "emotion")
+
+
+@query("flt8_request_reasons", """with r as (select c_custkey, c_acctbal / 100 as satisfaction, (c_custkey % 250)::int - 5 as page_size, (c_custkey % 7)::int - 1 as page, substr(c_name, 1, (c_custkey % 20)::int) as name,
+  (c_custkey % 11 - 1) / 10.0::double as train, (c_custkey % 5) / 10.0::double as validation from customer),
+e as (select c_custkey, list_filter([case when name is null or trim(name) = '' then 'name.missing' end, case when satisfaction < 0 then 'satisfaction.low' when satisfaction > 100 then 'satisfaction.high' end,
+  case when page < 1 then 'page.low' end, case when page_size < 1 then 'page_size.low' when page_size > 200 then 'page_size.high' end, case when length(name) < 2 then 'name.length.low' when length(name) > 200 then 'name.length.high' end,
+  case when train < 0 then 'split.negative' end, case when train <= 0 or validation <= 0 then 'split.empty' end, case when train + validation <= 0 then 'split.sum' end], lambda x: x is not null) as errors from r)
+select c_custkey, array_to_string(errors, ',') as errors from e where len(errors) > 0""")
+def flt8_request_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests; those that are refused, with all that is wrong."""
+    key = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_acctbal") / 100).alias("satisfaction"), ((key % 250).cast("int") - 5).alias("page_size"), ((key % 7).cast("int") - 1).alias("page"), F.expr("substring(c_name, 1, cast(c_custkey % 20 as int))").alias("name"),
+        ((key % 11 - 1) / 10).alias("train"), ((key % 5) / 10).alias("validation"),
+    )
+    return requests.checked(asked, ["name"])[1].select("c_custkey", F.array_join("errors", ",").alias("errors"))

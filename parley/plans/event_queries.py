@@ -9,7 +9,7 @@ from ..config import DEFAULTS, LABELS
 from ..operators import events, exports, intervals, joins, satisfaction
 from ..sources.tables import written
 from . import fixtures
-from .registry import query
+from .registry import query, table
 from .satisfaction_queries import TIMELINE, _components
 from .series_queries import rounded, rounded_sql
 
@@ -83,6 +83,12 @@ def snk1_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model that each call was analysed with: a part stands for one."""
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("call_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("version"), F.lit("emotion").alias("kind"))
+    return parts.where("call_id >= 0")
+
+
 @query("snk2_json_export")
 def snk2_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested JSON document per call: all that is known of it, each list in order."""
@@ -90,7 +96,8 @@ def snk2_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, said = fixtures.turns(spark, sf_dir), fixtures.utterances(spark, sf_dir)
     found = events.critical_events(cells, timeline, intervals.overlaps(t), said)
     scored = satisfaction.components(cells, KEYS).join(satisfaction.confidence(cells, KEYS), KEYS).join(satisfaction.initial_and_final(cells, KEYS).drop("delta").withColumnRenamed("trend", "direction"), KEYS, "left").join(satisfaction.speaker_metrics(cells, KEYS).select(*KEYS, "dominant", "frustration", "tension"), KEYS)
-    doc = exports.call_documents(fixtures.calls(spark, sf_dir), intervals.talk_time(t), t, said, fixtures.emissions(spark, sf_dir), scored, timeline, found, DEFAULTS)
+    doc = exports.call_documents(fixtures.calls(spark, sf_dir), intervals.talk_time(t), t, said, fixtures.emissions(spark, sf_dir), scored, timeline, found, DEFAULTS,
+                                 model=_models(spark, sf_dir), interaction=intervals.interaction(t), confidence=scored.groupBy("call_id").agg(F.round(F.avg("confidence"), 3).alias("speakers")), exported_at="2024-02-01T00:00:00Z")
     return doc.select("call_id", F.size("segments").cast("long").alias("n_segments"), F.size("events").cast("long").alias("n_events"), F.to_json(F.struct(*doc.columns)).alias("document"))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import plugins
 from ..config import LABELS
 from ..functions import text as tf
 from ..operators import learning, series
@@ -131,6 +132,16 @@ def ud1_spans_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select conv_id, turn, entity, start, end from {t}, lateral pii_spans(text)", t=table(spark, sf_dir, "conversations"))
 
 
+@query("ud1_plugins")
+def ud1_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What plug-ins that are registered by name make of every turn: the label of its text and its personal data."""
+    turns = table(spark, sf_dir, "conversations").withColumn("clean", tf.norm(F.col("text")))
+    labels = plugins.apply(turns, "text_analyzer", "lexicon", ["clean"], ["conv_id", "turn"], "label string", lambda plug, row: [(plug.analyze(row[0])[4],)])
+    found = plugins.apply(turns, "pii_detector", "rules", ["text"], ["conv_id", "turn"], "entity string", lambda plug, row: [(e,) for e, _, _ in plug.spans(row[0] or "")])
+    entities = found.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_entities"))
+    return labels.join(entities, ["conv_id", "turn"], "left").na.fill({"n_entities": 0})
+
+
 @query("ud1_grouped_aggregate", f"select event_type, {rounded_sql('sqrt(avg(value * value))', 4)} as rms from events group by 1")
 def ud1_grouped_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root mean square by built-in aggregates; a grouped UDF would bring a whole group to one task."""

@@ -225,14 +225,25 @@ def ag20_interaction_satisfaction(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query("ag21_analysis_quality", f"""with {fixtures.CELLS}, g as (select call_id, avg(conf) as conf, count(distinct speaker) as speakers, count(*)::double as covered, max(cell) + 1 as d from cells group by 1),
-c as (select *, 70.0::double as audio, least(greatest(covered / d / 0.4::double, 0), 1) * 100 as speech, 90.0::double as segments, least(greatest((conf - 0.3::double) / 0.5::double, 0), 1) * 100 as model, 80.0::double as transcription from g)
-select call_id, {rounded_sql("(0.2::double * audio + 0.1::double * speech + 0.1::double * segments + 0.25::double * model + 0.15::double * transcription + case when speakers > 1 then 0.2::double * 85 else 0 end) / (0.8::double + case when speakers > 1 then 0.2::double else 0 end)", 3)} as quality from c""")
+e as (select call_id, avg((conf >= 0.4::double)::int::double) as valid from emissions group by 1),
+t as (select call_id, avg(((turn * 17) % 61) / 100.0::double) as heard, 1 - abs(2 * sum(case when speaker = 'SPEAKER_00' then dur_ms end)::double / sum(dur_ms) - 1) as even, avg((dur_ms >= 2000)::int::double) as whole from turns group by 1),
+c as (select g.*, 100 * whole as audio, least(greatest(covered / d / 0.4::double, 0), 1) * 100 as speech, 100 * valid as segments, least(greatest((conf - 0.3::double) / 0.5::double, 0), 1) * 100 * case when call_id % 3 = 0 then 0.8::double else 1 end as model,
+  100 * coalesce(even, 0) as diarization, 100 * heard as transcription from g join e using (call_id) join t using (call_id)),
+q as (select call_id, (0.2::double * audio + 0.1::double * speech + 0.1::double * segments + 0.25::double * model + 0.15::double * transcription + case when speakers > 1 then 0.2::double * diarization else 0 end) / (0.8::double + case when speakers > 1 then 0.2::double else 0 end) as q from c)
+select call_id, {rounded_sql("q", 3)} as quality, q < 60 as low from q""")
 def ag21_analysis_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of a call's analysis; audio, segments, diarization and transcription are constants here."""
-    g = fixtures.cells(spark, sf_dir).groupBy("call_id").agg(F.avg("conf").alias("conf"), F.count_distinct("speaker").alias("n"), F.count(F.lit(1)).alias("covered"), (F.max("cell") + 1).alias("d"))
-    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 100
-    parts = {"audio": F.lit(70.0), "speech": unit(F.col("covered") / F.col("d") / 0.4), "segments": F.lit(90.0), "model": unit((F.col("conf") - 0.3) / 0.5), "diarization": F.when(F.col("n") > 1, 85.0), "transcription": F.lit(80.0)}
-    return g.select("call_id", rounded(series.weighted_quality(parts), 3).alias("quality"))
+    """Quality of a call's analysis from all six parts: turns of two seconds at least, speech, windows with a clear emotion,
+    the model's confidence (calls of another language, every third one, count less), evenly shared talk, words' confidence."""
+    g = fixtures.cells(spark, sf_dir).groupBy("call_id").agg(F.avg("conf").alias("conf"), F.count_distinct("speaker").alias("speakers"), F.count(F.lit(1)).alias("covered"), (F.max("cell") + 1).alias("duration"))
+    e = fixtures.emissions(spark, sf_dir).groupBy("call_id").agg(F.avg((F.col("conf") >= 0.4).cast("double")).alias("valid"))
+    first = F.sum(F.when(F.col("speaker") == "SPEAKER_00", F.col("dur_ms"))) / F.sum("dur_ms")
+    t = fixtures.turns(spark, sf_dir).groupBy("call_id").agg(F.avg(((F.col("turn") * 17) % 61) / 100).alias("heard"), (1 - F.abs(2 * first - 1)).alias("even"), F.avg((F.col("dur_ms") >= 2000).cast("double")).alias("whole"))
+    c = g.join(e, "call_id").join(t, "call_id")
+    quality, low = series.analysis_quality(
+        audio=100 * F.col("whole"), speech_ratio=F.col("covered") / F.col("duration"), valid_windows=F.col("valid"), model_confidence=F.col("conf"),
+        diarization=F.when(F.col("speakers") > 1, 100 * F.coalesce("even", F.lit(0.0))), word_confidence=F.col("heard"), mismatch=F.col("call_id") % 3 == 0,
+    )
+    return c.select("call_id", rounded(quality, 3).alias("quality"), low.alias("low"))
 
 
 @query("ag22_events_by_type", "select event_type, count(*) as n from events group by 1 order by n desc, event_type limit 4")

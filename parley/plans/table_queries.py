@@ -33,7 +33,7 @@ sql_query("prj5_person_names", "select s_suppkey, concat('Person ', cast(cast(re
 
 sql_query("jn1_lookup", "select o_orderkey, c_name, l_linenumber from {lineitem} join {orders} on l_orderkey = o_orderkey left join {customer} on o_custkey = c_custkey where l_quantity > 45")
 sql_query("jn11_anti", "select d.doc_id from {documents} d left anti join {labels} l on d.doc_id = l.doc_id", "select d.doc_id from {documents} d where not exists (select 1 from {labels} l where l.doc_id = d.doc_id)")
-sql_query("jn12_duplicates_exist", "select doc_id, n > 1 as duplicate from (select doc_id, count(*) over (partition by sha2(text, 256)) as n from {documents})", "select doc_id, n > 1 as duplicate from (select doc_id, count(*) over (partition by sha256(text)) as n from {documents})")
+sql_query("jn12_duplicates_exist", "with d as (select doc_id, sha2(text, 256) as h from {documents}), g as (select h, count(*) as n from d group by h) select doc_id, n > 1 as duplicate from d join g on d.h <=> g.h", "select doc_id, n > 1 as duplicate from (select doc_id, count(*) over (partition by sha256(text)) as n from {documents})")
 sql_query("jn13_orphans", "select p_partkey from {part} left anti join (select distinct l_partkey from {lineitem} where l_quantity > 10) on p_partkey = l_partkey", "select p_partkey from {part} where p_partkey not in (select l_partkey from {lineitem} where l_quantity > 10)")
 sql_query("jn14_model_resolution", """select c_custkey, coalesce(own, everyone, 'builtin') as model from {customer}
 left join (select o_custkey, max_by(o_orderpriority, struct(o_orderdate, o_orderkey)) as own from {orders} where o_orderstatus = 'F' group by 1) on c_custkey = o_custkey
@@ -128,12 +128,13 @@ sql_query("hf1_fingerprints", "select doc_id, sha2(text, 256) as h256, md5(text)
 
 # --- data sets -------------------------------------------------------------------------------------------------------
 
-sql_query("ds1_validation", """with d as (select doc_id, quality, toxic, n_chars % 131 as satisfaction, row_number() over (partition by sha2(text, 256) order by doc_id) as copy from {documents} left join {labels} using (doc_id))
-select doc_id, concat_ws(',', case when quality is null then 'missing_label' end, case when satisfaction > 100 then 'out_of_range' end, case when quality = 1 and satisfaction < 15 then 'inconsistent' end, case when toxic = 1 and satisfaction > 90 then 'inconsistent' end, case when copy > 1 then 'duplicate' end) as issues from d""",
+sql_query("ds1_validation", """with d as (select doc_id, quality, toxic, n_chars % 131 as satisfaction, sha2(text, 256) as h from {documents} left join {labels} using (doc_id)),
+g as (select h, min(doc_id) as first from d group by h)
+select doc_id, concat_ws(',', case when quality is null then 'missing_label' end, case when satisfaction > 100 then 'out_of_range' end, case when quality = 1 and satisfaction < 15 then 'inconsistent' end, case when toxic = 1 and satisfaction > 90 then 'inconsistent' end, case when doc_id > first then 'duplicate' end) as issues from d join g on d.h <=> g.h""",
           """with d as (select doc_id, quality, toxic, n_chars % 131 as satisfaction, row_number() over (partition by sha256(text) order by doc_id) as copy from {documents} left join {labels} using (doc_id))
 select doc_id, concat_ws(',', case when quality is null then 'missing_label' end, case when satisfaction > 100 then 'out_of_range' end, case when quality = 1 and satisfaction < 15 then 'inconsistent' end, case when toxic = 1 and satisfaction > 90 then 'inconsistent' end, case when copy > 1 then 'duplicate' end) as issues from d""")
 sql_query("ds5_feedback_import", "select l.doc_id, l.toxic from {labels} l left anti join (select doc_id from {documents} where lang = 'en') d on l.doc_id = d.doc_id", "select l.doc_id, l.toxic from {labels} l where l.doc_id not in (select doc_id from {documents} where lang = 'en')")
-sql_query("ds6_sampling_weights", "select doc_id, round(1 / cast(count(*) over (partition by toxic) as double), 8) as weight from {labels}")
+sql_query("ds6_sampling_weights", "select doc_id, round(1 / cast(n as double), 8) as weight from {labels} l join (select toxic, count(*) as n from {labels} group by 1) g on l.toxic <=> g.toxic", "select doc_id, round(1 / cast(count(*) over (partition by toxic) as double), 8) as weight from labels")
 sql_query("tr3_model_comparison", f"with {_PAIRS} select guess, count(*) as n, round(avg(case when truth = guess then 1.0D else 0.0D end), 6) as accuracy from p group by 1".replace("1.0D", "cast(1 as double)").replace("0.0D", "cast(0 as double)"))
 sql_query("tr4_early_stop", """with h as (select user_id as run, epoch, f1, max(f1) over (partition by user_id order by epoch rows between unbounded preceding and 1 preceding) as best from (select user_id, row_number() over (partition by user_id order by event_id) as epoch, value as f1 from {events})),
 g as (select *, case when best is null or f1 > best + 1e-6 then 1 else 0 end as better from h), i as (select *, sum(better) over (partition by run order by epoch) as grp from g), b as (select *, row_number() over (partition by run, grp order by epoch) - 1 as bad from i)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import opened
+
 #: Accepted extensions, and limits of size and duration.
 EXTENSIONS = ["mp3", "wav", "m4a", "aac", "flac", "ogg"]
 MOST_BYTES, MOST_SECONDS = 4 * 1024**3, 12 * 3600
 CHUNK = 1 << 20
+#: Bytes that are hashed at a time.
+PIECE = 8 << 20
 
 
 def upload_error(name: Column, size: Column, seconds: Column | None = None) -> Column:
@@ -19,18 +27,37 @@ def upload_error(name: Column, size: Column, seconds: Column | None = None) -> C
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, file_hash (SHA-256) and error of each file below path; refused ones have no hash. Files
+    """path, size, file_hash (SHA-256) and error of each file below path; refused ones have no hash, files that can't be
+    read have the error unreadable. Files are hashed piece by piece where they lie, so none has to fit a row. Files
     without a byte are skipped by the file source; upload_error() is for those whose size is known otherwise."""
+
+    def hashed(name: str) -> tuple[str | None, str | None]:
+        digest = hashlib.sha256()
+        try:
+            with opened(name) as file:
+                while piece := file.read(PIECE):
+                    digest.update(piece)
+        except (OSError, ValueError):
+            return None, "unreadable"
+        return digest.hexdigest(), None
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [hashed(p) if e is None else (None, e) for p, e in zip(batch["path"], batch["error"], strict=True)]
+            yield pd.DataFrame({"path": batch["path"], "size": batch["size"], "file_hash": [f[0] for f in found], "error": [f[1] for f in found]}, dtype=object).astype({"size": "int64"})
+
+    # Without its content a file's row is small; the files themselves are read in the tasks.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    error = upload_error(F.col("path"), F.col("length"))
-    return files.select("path", F.col("length").alias("size"), F.when(error.isNull(), F.sha2("content", 256)).alias("file_hash"), error.alias("error"))
+    listed = files.select("path", F.col("length").alias("size"), upload_error(F.col("path"), F.col("length")).alias("error"))
+    return listed.mapInPandas(each, "path string, size long, file_hash string, error string")
 
 
-def _key(secret: str) -> Column:
-    return F.unhex(F.sha2(F.encode(F.lit(f"parley-at-rest:{secret}"), "UTF-8"), 256))
+def _key(secret: str | Column) -> Column:
+    """The key of a secret; as a column, the secret is no part of the plan."""
+    return F.unhex(F.sha2(F.encode(F.concat(F.lit("parley-at-rest:"), F.lit(secret)), "UTF-8"), 256))
 
 
-def seal(files: DataFrame, id_: str, content: str, secret: str, chunk: int = CHUNK) -> DataFrame:
+def seal(files: DataFrame, id_: str, content: str, secret: str | Column, chunk: int = CHUNK) -> DataFrame:
     """files(id, content) -> (id, part, sealed): each chunk encrypted by AES-256-GCM with a nonce of its own, bound to its
     file and place. An empty file has one empty chunk, a null one none."""
     parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(content) / chunk).cast("int") - 1, F.lit(0)))
@@ -43,7 +70,7 @@ def _place(id_: str) -> Column:
     return F.concat_ws(":", F.col(id_).cast("string"), F.col("part").cast("string"))
 
 
-def read_range(sealed: DataFrame, id_: str, start: int, length: int, secret: str, chunk: int = CHUNK) -> DataFrame:
+def read_range(sealed: DataFrame, id_: str, start: int, length: int, secret: str | Column, chunk: int = CHUNK) -> DataFrame:
     """(id, content): bytes start to start + length of each file; only the chunks that hold them are decrypted. Files
     that end before have what they have."""
     first, last = start // chunk, (start + length - 1) // chunk
@@ -91,7 +118,9 @@ def cache_purge(gone: DataFrame, path: str) -> None:
 
 def cache_get(asked: DataFrame, path: str) -> DataFrame:
     """asked(org_id, file_hash, stage, config_hash, ...) with value, null where nothing is stored for the key."""
-    stored = asked.sparkSession.read.parquet(path)
+    # Only partitions and files' rows that are asked for are grouped.
+    wanted = asked.where("file_hash is not null").select("org_id", F.substring("file_hash", 1, 2).alias("prefix"), "file_hash").distinct()
+    stored = asked.sparkSession.read.parquet(path).join(wanted, ["org_id", "prefix", "file_hash"], "left_semi")
     one = stored.where("not purged").groupBy(*CACHE_KEY).agg(F.max(F.struct("put_at", "value")).alias("_newest"))
     purged = stored.where("purged").groupBy("org_id", "file_hash").agg(F.max("put_at").alias("_purged"))
     live = one.join(purged, ["org_id", "file_hash"], "left").where("_purged is null or _newest.put_at > _purged")

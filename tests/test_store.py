@@ -135,9 +135,89 @@ def test_documents_of_calls_hold_all_parts(spark):
     assert {r["call_id"] for r in rows} == set(said)
     for r in rows:
         document = json.loads(r["document"])
-        assert set(document) == {"call_id", "call", "speakers", "segments", "transcription", "emotions", "satisfaction", "events", "config", "notice"}
+        assert set(document) == {"call_id", "call", "speakers", "segments", "transcription", "emotions", "satisfaction", "events", "model", "interaction", "confidence", "config", "redacted", "exported_at", "notice"}
+        assert document["redacted"] is False and document["exported_at"] == "2024-02-01T00:00:00Z" and 0 <= document["confidence"]["speakers"] <= 1 and "overlaps" in document["interaction"]
         assert sorted(x["text"] for x in document["transcription"]) == sorted(t for _, t in said[r["call_id"]])
         assert [x["start"] for x in document["segments"]] == sorted(x["start"] for x in document["segments"])
         assert all(abs(sum(x["probabilities"]) - 1) < 1e-3 for x in document["emotions"]) and len(document["segments"]) == r["n_segments"]
         assert {s["speaker"] for s in document["satisfaction"]} <= {s["speaker"] for s in document["speakers"]}
     assert any(json.loads(r["document"])["satisfaction"][0]["timeline"] for r in rows if json.loads(r["document"])["satisfaction"])
+
+
+def test_documents_of_calls_are_redacted_on_request(spark):
+    from parley.operators import exports
+
+    one = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    calls = one("call_id long", (1,), (2,))
+    said = one("call_id long, speaker string, turn long, start_ms long, end_ms long, text string, text_redacted string, text_conf double", (1, "A", 0, 0, 1, "I am Ann", "I am [X]", 0.5), (1, "A", 1, 2, 3, "plain", None, 0.5))
+    speakers = one("call_id long, speaker string, turns long, talk_s double, ratio double", (1, "A", 2, 0.1, 1.0))
+    segments = one("call_id long, speaker string, turn long, start_ms long, end_ms long", (1, "A", 0, 0, 1))
+    emotions = one("call_id long, speaker string, widx long, w_start long, w_end long, p array<double>, conf double", (1, "A", 0, 0, 1, [1.0], 1.0))
+    line = one("call_id long, speaker string, t double, score double", (1, "A", 0.0, 50.0))
+    model = one("call_id long, name string", (1, "m"))
+    for redact, texts in ((True, ["I am [X]", "plain"]), (False, ["I am Ann", "plain"])):
+        rows = {r["call_id"]: r for r in exports.call_documents(calls, speakers, segments, said, emotions, line.select("call_id", "speaker"), line, line.select("call_id", "t", F.lit("x").alias("type")), {}, model=model, redact=redact).collect()}
+        assert [x["text"] for x in rows[1]["transcription"]] == texts and rows[1]["redacted"] is redact and rows[1]["model"]["name"] == "m"
+        assert rows[2]["transcription"] == [] and rows[2]["model"] is None and rows[2]["exported_at"][-1] == "Z" and rows[1]["interaction"] is None
+
+
+def test_uploads_are_hashed_by_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    data = bytes(range(256)) * 90_000  # three pieces of 8 MB
+    (tmp_path / "long.wav").write_bytes(data)
+    (tmp_path / "short.mp3").write_bytes(b"x")
+    (tmp_path / "notes.txt").write_bytes(b"x")
+    found = {r["path"].rsplit("/")[-1]: r for r in store.read_uploads(spark, str(tmp_path)).collect()}
+    assert found["long.wav"]["file_hash"] == hashlib.sha256(data).hexdigest() and found["long.wav"]["size"] == len(data)
+    assert found["short.mp3"]["file_hash"] == hashlib.sha256(b"x").hexdigest() and (found["notes.txt"]["file_hash"], found["notes.txt"]["error"]) == (None, "extension")
+
+
+def test_cues_of_a_text():
+    from parley.functions import text as tf
+
+    score, confidence, frustration, resolution, label, cues = tf.lexicon_signals("ya estoy cansado de llamar y nadie me soluciona nada")
+    assert score < -0.3 and label == "negative" and ("frustration", "cansado de") in cues and ("frustration", "nadie me") in cues
+    assert frustration == min(1.0, 0.9 + 0.15 * (len(cues) - 1)) and resolution == 0 and confidence == min(1.0, round(0.25 + 0.25 * len(cues), 4))
+    assert abs(tf.lexicon_signals("gracias por llamar ¿en que puedo ayudarle?")[0]) < 0.15
+    assert tf.lexicon_signals("no me ayudo en nada")[5] == [("negated_positive", "no me ayudo")] and tf.lexicon_signals("no me ayudo en nada")[0] <= 0
+    happy = tf.lexicon_signals("muchas gracias quedo resuelto excelente servicio")
+    assert happy[0] > 0.3 and [t for t, _ in happy[5]] == ["resolution"] * len(happy[5]) and len(tf.lexicon_signals("perfecto " * 50)[5]) == 8
+    assert tf.lexicon_signals(None) == tf.lexicon_signals("hola") == (0.0, 0.0, 0.0, 0.0, "neutral", [])
+
+
+def test_requests_and_samples(spark):
+    from parley.operators import requests
+
+    nan = float("nan")
+    rows = [(1, 50.0, 1, 10, "Ann", 0.7, 0.3), (2, -1.0, 0, 500, "A", -0.1, 0.5), (3, 101.0, 1, 200, None, 0.0, 0.0), (4, nan, None, None, " ", 0.5, 0.5)]
+    asked = spark.createDataFrame(rows, "id long, satisfaction double, page int, page_size int, name string, train double, validation double")
+    fine, refused = requests.checked(asked, ["name"])
+    assert [r["id"] for r in fine.collect()] == [1] and fine.columns == asked.columns
+    assert {r["id"]: r["errors"] for r in refused.collect()} == {
+        2: ["satisfaction.low", "page.low", "page_size.high", "name.length.low", "split.negative", "split.empty"],
+        3: ["name.missing", "satisfaction.high", "split.empty", "split.sum"],
+        4: ["name.missing", "satisfaction.high", "name.length.low"],
+    }
+    samples = spark.createDataFrame([(1, "train", "sad", ["x"]), (2, "train", "sad", []), (3, "test", "sad", None), (4, None, None, ["y"])], "id long, split string, emotion string, issues array<string>")
+    ids = lambda **k: sorted(r["id"] for r in requests.sample_filters(samples, **k).collect())
+    assert ids() == [1, 2, 3, 4] and ids(split="train") == [1, 2] and ids(with_issues=True) == [1, 4] and ids(with_issues=False) == [2, 3] and ids(emotion="sad", with_issues=True) == [1]
+
+
+def test_plugins(spark):
+    from parley import plugins
+
+    assert plugins.names("text_analyzer") == ["lexicon"] and plugins.build("text_analyzer", "lexicon") is plugins.build("text_analyzer", "lexicon", {})
+    assert plugins.build("text_analyzer", "lexicon", {"sign": "corrected"}).sign == "corrected"
+    for kind, name, error in (("text_analyzer", "absent", "no text_analyzer"), ("painter", "x", "no painter")):
+        with pytest.raises(ValueError, match=error):
+            plugins.build(kind, name)
+    with pytest.raises(ValueError, match="plug-in point"):
+        plugins.register("painter", "x", dict)
+    plugins.register("transcriber", "broken", lambda config: object())
+    with pytest.raises(TypeError, match="lacks words"):
+        plugins.build("transcriber", "broken")
+    assert plugins.build("voice_detector", "energy").segments([0.0] * 8000 + [0.3, -0.3] * 4000 + [0.0] * 8000, 16000)[0] == pytest.approx((0.5, 1.0), abs=0.04)
+    rows = spark.createDataFrame([(1, "my name is Ann Lee, call 555 123 4567"), (2, None), (3, "nothing")], "id long, text string")
+    found = plugins.apply(rows, "pii_detector", "rules", ["text"], ["id", "text"], "entity string, start int", lambda plug, row: [(e, s) for e, s, _ in plug.spans(row[0] or "")])
+    assert sorted((r["id"], r["entity"]) for r in found.collect()) == [(1, "PERSON"), (1, "PHONE")] and found.columns == ["id", "text", "entity", "start"]
