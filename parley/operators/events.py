@@ -142,10 +142,12 @@ def evidence(events: DataFrame, utterances: DataFrame, near: float = 20.0, most:
     return out.select(*events.columns, F.coalesce("_found", F.array().cast(lists.schema["_found"].dataType)).alias("evidence"))
 
 
-def critical_events(cells: DataFrame, timeline: DataFrame, overlaps: DataFrame, utterances: DataFrame | None = None) -> DataFrame:
+def critical_events(cells: DataFrame, timeline: DataFrame, overlaps: DataFrame, utterances: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """All events that are confident enough, with the emotion of the nearest cell, the satisfaction at their time, a
-    description, and the evidence of the utterances if these are given."""
-    cells, timeline = written(cells), written(timeline)
+    description, and the evidence of the utterances if these are given. Cells and timeline are written to the shared folder
+    first, as each kind of event reads them; stored says that they are read from files already."""
+    if not stored:
+        cells, timeline = written(cells), written(timeline)
     found = indices(cells)
     every = [emotion_peaks(found), shifts(found), timeline_moves(timeline, found), endings(cells), conflicts(found, overlaps)]
     rows = every[0].select(COLUMNS)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, FRUSTRATION, LABELS, TENSION, VALENCE
-from .windows import ema_with_carry
 
 COMPONENTS = ["signal", "final_state", "trend", "persistence", "stability", "text", "prosody"]
 
@@ -102,18 +105,90 @@ def contributions(found: DataFrame) -> DataFrame:
     return found.withColumn("_c", F.explode(each)).where("_c.value is not null").select("call_id", "speaker", "_c.*")
 
 
+def _slice_scores(t: np.ndarray, v: np.ndarray, a: np.ndarray, text: np.ndarray, tension: np.ndarray, first: np.ndarray, last: np.ndarray, final: tuple[float, float, float], trend_factor: float) -> np.ndarray:
+    """The score of components() for many slices of one series at once: cells first to last (excluded) each, nan for slices
+    without a cell. All slices are rows of one matrix, as long as the longest of them."""
+    settings = DEFAULTS["satisfaction"]
+    n = last - first
+    at = np.arange(max(1, int(n.max(initial=0))))
+    inside = at < n[:, None]
+    cell = np.where(inside, first[:, None] + at, 0)
+    rows = len(n)
+    v, a, t = (np.where(inside, x[cell], 0.0) for x in (v, a, t))
+
+    k = np.minimum(30, n)[:, None]
+    low, high = np.maximum(0, at - k // 2), np.minimum(n[:, None], at + k - k // 2)
+    sums = np.concatenate([np.zeros((rows, 1)), np.cumsum(v, axis=1)], axis=1)
+    line = np.arange(rows)[:, None]
+    vs = np.where(inside, (sums[line, np.where(inside, high, 0)] - sums[line, np.where(inside, low, 0)]) / np.maximum(np.where(inside, high - low, 1), 1), 0.0)
+
+    t0, t1 = t[:, :1], t[line, np.maximum(n - 1, 0)[:, None]]
+    span = t1 - t0 + 1
+    late = inside & (t >= t1 - np.clip(final[0] * span, final[1], final[2]))
+    late = np.where((late.sum(axis=1) >= 3)[:, None], late, inside & (at >= n[:, None] - 10))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        signal = (a * v).sum(axis=1) / a.sum(axis=1)
+        final_state = (a * v * late).sum(axis=1) / (a * late).sum(axis=1)
+        tn = np.where(inside, (t - t0) / np.maximum(t1 - t0, 1e-6), 0.0)
+        dt = np.where(inside, tn - tn.sum(axis=1, keepdims=True) / n[:, None], 0.0)
+        mean = vs.sum(axis=1, keepdims=True) / n[:, None]
+        dv = np.where(inside, vs - mean, 0.0)
+        slope = np.where((n >= 6) & (span[:, 0] > 20), (dt * dv).sum(axis=1) / (dt * dt).sum(axis=1), 0.0)
+        spread = np.sqrt((dv * dv).sum(axis=1) / n)
+        jumps = np.where(n > 1, (inside[:, 1:] & (np.abs(np.diff(v, axis=1)) > 0.5)).sum(axis=1) / (n - 1), 0.0)
+
+        sign = np.where(inside, np.where(vs > 0.25, 1, np.where(vs < -0.25, -1, 0)), 9)
+        change = np.concatenate([np.ones((rows, 1), bool), sign[:, 1:] != sign[:, :-1]], axis=1)
+        begin = np.maximum.accumulate(np.where(change, at, 0), axis=1)
+        ends = np.concatenate([change[:, 1:], np.ones((rows, 1), bool)], axis=1)
+        until = np.minimum.accumulate(np.where(ends, at, len(at))[:, ::-1], axis=1)[:, ::-1]
+        lean = (np.where(until - begin + 1 >= 10, sign, 0) * inside).sum(axis=1) / n
+
+        def mean_of(x: np.ndarray) -> np.ndarray:
+            known = inside & ~np.isnan(x[cell])
+            count = known.sum(axis=1)
+            return np.where(count >= 3, np.where(known, x[cell], 0.0).sum(axis=1) / count, np.nan)
+
+        steady = np.clip(1 - spread / 0.5 - jumps, 0, 1)
+        parts = {
+            "signal": signal, "final_state": final_state, "trend": np.clip(1.5 * slope, -1, 1) * trend_factor, "persistence": np.clip(1.5 * lean, -1, 1),
+            "stability": (2 * steady - 1) * (0.5 + 0.5 * np.clip(2 * signal, -1, 1)), "text": np.clip(1.5 * mean_of(text), -1, 1), "prosody": np.clip(-2 * (mean_of(tension) - 0.5), -1, 1),
+        }
+        top = sum(np.where(np.isnan(parts[c]), 0.0, w * parts[c]) for c, w in settings["weights"].items())
+        bottom = sum(np.where(np.isnan(parts[c]), 0.0, abs(w)) for c, w in settings["weights"].items())
+        score = np.clip(50 + 50 * np.clip(settings["scale"] * top / bottom, -1, 1), 0, 100)
+    return np.where(n > 0, score, np.nan)
+
+
 def timeline(cells: DataFrame, keys: list[str]) -> DataFrame:
     """The satisfaction over time: keys, t, score. Every ten seconds the last sixty are scored (trend counts half) and
-    smoothed exponentially; a step with fewer than three cells repeats the value before."""
+    smoothed exponentially; a step with fewer than three cells repeats the value before, and there is none before the
+    first step with three.
+
+    Each cell is shuffled once. A key is one speaker of one call, 43,200 cells at most, and a task's whole work on it is a
+    few passes over one matrix of steps by sixty cells.
+    """
     step, window, alpha = (DEFAULTS["satisfaction"]["timeline"][x] for x in ("step", "window", "ema"))
-    ends = cells.groupBy(*keys).agg(F.max("cell").alias("last")).withColumn("duration", F.col("last") + 1.0)
-    steps = ends.select(*keys, "duration", F.explode(F.sequence(F.lit(0), F.ceil((F.col("duration") + step) / step).cast("int") - 1)).alias("k"))
-    reach = F.sequence(F.ceil((F.col("t") - 1e-6) / step).cast("int"), F.floor((F.col("t") + window) / step).cast("int"))
-    sliced = cells.withColumn("k", F.explode(reach))
-    scored = components(sliced, [*keys, "k"], final=(0.4, 5, window), trend_factor=0.5).select(*keys, "k", "n", "score")
-    rows = steps.join(scored, [*keys, "k"], "left").withColumn("ok", F.coalesce(F.col("n") >= 3, F.lit(False))).withColumn("value", F.coalesce("score", F.lit(0.0)))
-    smooth = ema_with_carry(rows, keys, "k", "value", "ok", alpha)
-    return smooth.join(ends, keys).select(*keys, F.least(F.col("k") * step, F.col("duration")).alias("t"), F.col("ema").alias("score"))
+
+    def line(group: pa.Table) -> pa.Table:
+        group = group.sort_by("t")
+        t, v, a, text, tension, cell = (group.column(c).to_numpy().astype(float) for c in ("t", "v", "a", "text_score", "tension", "cell"))
+        duration = cell.max() + 1.0
+        steps = np.arange(math.ceil((duration + step) / step))
+        first, last = np.searchsorted(t, steps * step - window, "left"), np.searchsorted(t, steps * step + 1e-6, "right")
+        scores = np.concatenate([_slice_scores(t, v, a, text, tension, first[i : i + 1024], last[i : i + 1024], (0.4, 5, window), 0.5) for i in range(0, len(steps), 1024)])
+        ema, out = None, []
+        for k, (score, n) in enumerate(zip(scores.tolist(), (last - first).tolist(), strict=True)):
+            if n >= 3:
+                ema = score if ema is None else alpha * score + (1 - alpha) * ema
+            if ema is not None:
+                out.append((min(k * step, duration), ema))
+        columns = [pa.repeat(group.column(k)[0], len(out)) for k in keys]
+        return pa.Table.from_arrays([*columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64())], names=[*keys, "t", "score"])
+
+    rows = valence(cells).select(*keys, "t", "cell", "v", "a", F.col("text_score").cast("double"), F.col("tension").cast("double"))
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInArrow(line, f"{fields}, t double, score double")
 
 
 def initial_and_final(cells: DataFrame, keys: list[str]) -> DataFrame:

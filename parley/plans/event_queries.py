@@ -94,7 +94,7 @@ def snk2_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested JSON document per call: all that is known of it, each list in order."""
     cells, timeline = written(fixtures.cells(spark, sf_dir)), written(_timeline(spark, sf_dir))
     t, said = fixtures.turns(spark, sf_dir), fixtures.utterances(spark, sf_dir)
-    found = events.critical_events(cells, timeline, intervals.overlaps(t), said)
+    found = events.critical_events(cells, timeline, intervals.overlaps(t), said, stored=True)
     scored = satisfaction.components(cells, KEYS).join(satisfaction.confidence(cells, KEYS), KEYS).join(satisfaction.initial_and_final(cells, KEYS).drop("delta").withColumnRenamed("trend", "direction"), KEYS, "left").join(satisfaction.speaker_metrics(cells, KEYS).select(*KEYS, "dominant", "frustration", "tension"), KEYS)
     doc = exports.call_documents(fixtures.calls(spark, sf_dir), intervals.talk_time(t), t, said, fixtures.emissions(spark, sf_dir), scored, timeline, found, DEFAULTS,
                                  model=_models(spark, sf_dir), interaction=intervals.interaction(t), confidence=scored.groupBy("call_id").agg(F.round(F.avg("confidence"), 3).alias("speakers")), exported_at="2024-02-01T00:00:00Z")

@@ -180,7 +180,7 @@ def sx1_stage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sx5_windows", f"select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, {rounded_sql('sum(value)', 3)} as value from events group by 1, 2")
 def sx5_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = live.into_table(spark, live.windows(live.read_events(spark, f"{sf_dir}/events.parquet")), "windows", "complete")
+    found = live.with_open(spark, live.windows(live.read_events(spark, f"{sf_dir}/events.parquet")), "windows", live.open_windows)
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", rounded("value", 3).alias("value"))
 
 
@@ -189,7 +189,7 @@ s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows u
 select user_id, min(ts) as start, max(ts) + interval '1 hour' as "end", count(*) as n from s group by user_id, number""")
 def sx5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sessions, those that are open when the files end too."""
-    found = live.into_table(spark, live.sessions(live.read_events(spark, f"{sf_dir}/events.parquet")), "sessions", "complete").drop("batch")
+    found = live.with_open(spark, live.sessions(live.read_events(spark, f"{sf_dir}/events.parquet")), "sessions", live.open_sessions)
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 

@@ -93,3 +93,26 @@ def into_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "a
         newest = rows.agg(F.max("batch")).first()[0]
         rows = rows.where(F.col("batch") == F.lit(newest))
     return rows
+
+
+def open_windows(state: DataFrame) -> DataFrame:
+    """The rows of windows() that its state still holds."""
+    return state.select(F.col("key.window.start").alias("start"), F.col("key.event_type").alias("event_type"), F.col("value.count").alias("n"), F.col("value.sum").alias("value"))
+
+
+def open_sessions(state: DataFrame) -> DataFrame:
+    """The rows of sessions() that its state still holds."""
+    return state.select(F.col("key.user_id").alias("user_id"), F.col("value.session_window.start").alias("start"), F.col("value.session_window.end").alias("end"), F.col("value.count").alias("n"))
+
+
+def with_open(spark: SparkSession, stream: DataFrame, name: str, of_state: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stream's rows in append mode, each written once, when the watermark has passed it; then those that are still open
+    at the end, read from the state. The state holds what is not older than the watermark, however long the stream is."""
+    out, offsets = shared_folder(spark, name), shared_folder(spark, f"{name}-offsets")
+
+    def stage(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run_batches(stream, stage, offsets)
+    closed = spark.read.schema(stream.schema.add("batch", "long")).parquet(out).drop("batch")
+    return closed.unionByName(of_state(spark.read.format("statestore").load(offsets)))

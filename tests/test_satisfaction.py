@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,64 @@ def test_progress_is_throttled_across_batches(spark, tmp_path):
             last[call, stage] = (at, pct)
             expected.append((call, stage, at, round(pct, 1)))
     assert got == sorted(expected) and 0 < len(got) < 240
+
+
+def test_windows_and_sessions_over_several_batches_with_bounded_state(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").orderBy("ts")
+    rows = [(r["event_id"], r["ts"], r["user_id"], r["event_type"], r["value"]) for r in events.collect()]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    for i in range(6):
+        part = rows[i * len(rows) // 6 : (i + 1) * len(rows) // 6]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    whole = spark.createDataFrame(rows, schema)
+    held = []
+
+    def noted(of_state):
+        def read(state):
+            held.append(state.count())
+            return of_state(state)
+
+        return read
+
+    found = live.with_open(spark, live.windows(stream()), "windows", noted(live.open_windows)).collect()
+    expected = whole.groupBy(F.window("ts", "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).collect()
+    shown = lambda rows: sorted((r["start"], r["event_type"], r["n"], round(r["value"], 6)) for r in rows)
+    assert shown(found) == shown(expected)
+    found = live.with_open(spark, live.sessions(stream()), "sessions", noted(live.open_sessions)).collect()
+    expected = whole.groupBy(F.session_window("ts", "1 hour").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
+    # Thirty minutes of lateness and an hour of width: nothing else is kept.
+    assert held[0] <= 3 * 5 and held[1] <= whole.where(F.col("ts") > F.lit(rows[-1][1]) - F.expr("interval 150 minutes")).count()
+
+
+def test_timeline_is_that_of_components_over_slices(spark):
+    """The matrix of slices against the windows of components() over copies of the cells."""
+    from parley.operators import satisfaction
+    from parley.operators.series import trailing_slices
+
+    keys = ["call_id", "speaker"]
+    rng = np.random.default_rng(4)
+    rows = []
+    for call in range(12):
+        at = 0
+        for _ in range(int(rng.integers(1, 260))):
+            at += 1 if rng.random() < 0.93 else int(rng.integers(2, 90))
+            p = rng.dirichlet(np.ones(7) * (0.4 if call % 2 else 3))
+            rows.append((call, "A", at, at + 0.5, [float(x) for x in p], float(p.max()), float(rng.random()) if rng.random() < 0.5 else None, float(rng.uniform(-1, 1)) if rng.random() < 0.3 and call % 3 else None))
+    cells = spark.createDataFrame(rows, "call_id long, speaker string, cell long, t double, p array<double>, conf double, tension double, text_score double").checkpoint()
+    sliced = trailing_slices(cells, keys, 10.0, 60.0)
+    scored = satisfaction.components(sliced, [*keys, "k"], final=(0.4, 5, 60), trend_factor=0.5)
+    ends = {r["call_id"]: r["d"] for r in cells.groupBy("call_id").agg((F.max("cell") + 1).alias("d")).collect()}
+    by = {(r["call_id"], r["k"]): (r["n"], r["score"]) for r in scored.collect()}
+    expected = []
+    for call, duration in ends.items():
+        ema = None
+        for k in range(-(-(duration + 10) // 10)):
+            n, score = by.get((call, k), (0, None))
+            if n >= 3:
+                ema = score if ema is None else 0.35 * score + 0.65 * ema
+            if ema is not None:
+                expected.append((call, min(10.0 * k, float(duration)), round(ema, 8)))
+    got = [(r["call_id"], r["t"], round(r["score"], 8)) for r in satisfaction.timeline(cells, keys).collect()]
+    assert sorted(got) == sorted(expected) and len(got) > 100
