@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, LABELS
-from ..operators import events, exports, intervals, joins, satisfaction
+from ..operators import events, exports, intervals, joins, narrative, satisfaction, series
 from ..sources.tables import written
 from . import fixtures
 from .registry import query, table
@@ -140,3 +140,15 @@ def sf9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = satisfaction.initial_and_final(c, KEYS).join(satisfaction.speaker_metrics(c, KEYS), KEYS)
     text = F.format_string("%s: %s, from %.1f to %.1f; mostly %s.", "speaker", "trend", F.coalesce("initial", F.lit(50.0)), F.coalesce("final", F.lit(50.0)), "dominant")
     return both.select(*KEYS, text.alias("summary"))
+
+
+@query("sf9_executive_summary")
+def sf9_executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of each call: its speakers, how satisfaction moved, and its events."""
+    c = written(fixtures.cells(spark, sf_dir))
+    scores = satisfaction.components(c, KEYS).select(*KEYS, "score").join(satisfaction.confidence(c, KEYS), KEYS)
+    moves = satisfaction.initial_and_final(c, KEYS)
+    told = scores.join(moves, KEYS).join(satisfaction.speaker_metrics(c, KEYS).select(*KEYS, "initial_emotion", "final_emotion"), KEYS)
+    both = series.interaction_satisfaction(told.select(*KEYS, "score", "initial", "final"))
+    found = events.critical_events(c, written(satisfaction.timeline(c, KEYS)), intervals.overlaps(fixtures.turns(spark, sf_dir)), stored=True)
+    return narrative.executive_summary(told, both.select("call_id", "initial", "final", "variation"), found)

@@ -114,3 +114,24 @@ def test_initial_and_final_scores(spark, tables):
             frame = spark.createDataFrame(part, cells.schema)
             score = satisfaction.components(frame, KEYS, final=(0.4, 5, 60), trend_factor=0.5).first()["score"]
             assert (got[key][name] is None) == (len(part) < 3) and (len(part) < 3 or got[key][name] == pytest.approx(score))
+
+
+def test_executive_summary(spark):
+    from parley.operators.narrative import executive_summary
+
+    speakers = spark.createDataFrame(
+        [(1, "SPEAKER_01", "sad", "happy", 62.5, 0.8, "improving", "Persona 2"), (1, "SPEAKER_00", "angry", None, 40.4, 0.5, "declining", "Persona 1 (Cliente)"), (2, "SPEAKER_00", "odd", "neutral", 99.5, 0.1, "stable", "x")],
+        "call_id long, speaker string, initial_emotion string, final_emotion string, score double, confidence double, trend string, name string",
+    )
+    interaction = spark.createDataFrame([(1, 40.0, 55.5, 15.5), (2, 1.0, 2.0, 1.0)], "call_id long, initial double, final double, variation double")
+    found = [(1, 9.0, "recovery"), (1, 1.0, "anger_peak"), (1, 2.0, "anger_peak"), (1, 3.0, "positive_ending"), (1, 4.0, "other"), (1, 5.0, "deterioration")]
+    events_ = spark.createDataFrame(found, "call_id long, t double, type string")
+    got = {r["call_id"]: r["summary"] for r in executive_summary(speakers, interaction, events_).collect()}
+    end = " Estos resultados son estimaciones de un modelo y no constituyen una afirmación definitiva sobre el estado de los participantes; se recomienda revisión humana de los momentos críticos."
+    said = "Durante la llamada, {} presentó una evolución emocional desde {} como señal inicial predominante hacia {} en el tramo final; el modelo estima una satisfacción de {:.0f}/100 (confianza {}) y una tendencia {}."
+    assert got[2] == said.format("la persona", "odd", "neutralidad", 99.5, "baja", "estable") + end
+    assert got[1] == (
+        said.format("Persona 1 (Cliente)", "enojo", "sin dato", 40.4, "moderada", "negativa") + " " + said.format("Persona 2", "tristeza", "alegría", 62.5, "alta", "positiva")
+        + f" A nivel de interacción, la satisfacción estimada pasó de {40.0:.0f} a {55.5:.0f} (variación {15.5:+.0f})."
+        + " Se detectaron 6 momentos destacados: pico de enojo (2), final positivo (1), other (1), deterioro emocional (1)." + end
+    )
