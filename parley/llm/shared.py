@@ -38,12 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as Parquet in the shared checkpoint folder: columns that are not asked for later are not read again."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").option("compression", compression).option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
