@@ -51,7 +51,7 @@ from d left join covered using (doc_id) left join items using (doc_id)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped and the dropped line numbers, comma-joined."""
     docs = read(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    lines = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     found = lines.join(duplicate_lines(docs), "doc_id", "left")
     return found.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
