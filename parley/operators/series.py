@@ -133,10 +133,37 @@ def utterances(words: DataFrame, gap: int = 1200, longest: int = 25_000) -> Data
     return words.groupBy("call_id").applyInPandas(fold, schema)
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, not twice: the product's and the sum's rounding errors are worked out and added at the end."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    product = a * b
+    lost = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    total = product + c
+    late = total - product
+    return total + (((product - (total - late)) + (c - late)) + lost)
+
+
+def tenth_percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, tenth: the tenth percentile of the values, interpolated between the two around it with one rounding of the sum,
+    as DuckDB does; F.percentile rounds twice, and a value that equals a limit is then on its other side."""
+    by = Window.partitionBy(*keys)
+    placed = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    placed = placed.withColumn("_i", F.row_number().over(by.orderBy("_v")) - 1).withColumn("_at", (F.count(F.lit(1)).over(by) - 1) * F.lit(0.1))
+    around = placed.groupBy(*keys).agg(F.max("_at").alias("_at"), *(F.max(F.when(F.col("_i") == f("_at"), F.col("_v"))).alias(c) for c, f in (("_low", F.floor), ("_high", F.ceil))))
+    part = F.col("_at") - F.floor("_at")
+    between = fused(F.col("_low"), 1 - part, F.col("_high") * part)
+    return around.select(*keys, F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between).alias("tenth"))
+
+
 def active_runs(frames: DataFrame, keys: list[str], floor: float, above: float, least: int) -> DataFrame:
     """frames (keys, event_id, ms, db) -> keys, start_ms, end_ms, frames of the runs of active ones, `least` at least:
     louder than the floor and than the tenth percentile of their key plus `above`."""
-    threshold = frames.groupBy(*keys).agg(F.greatest(F.lit(floor), F.percentile("db", 0.1) + above).alias("_limit"))
+    threshold = tenth_percentiles(frames, keys, "db").select(*keys, F.greatest(F.lit(floor), F.col("tenth") + above).alias("_limit"))
     marked = frames.join(threshold, keys).withColumn("_active", F.col("db") > F.col("_limit")).withColumn("_order", F.struct("ms", "event_id"))
     grouped = runs(marked, keys, "_order", "_active").where("_active").groupBy(*keys, "_run")
     return grouped.agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("frames")).where(F.col("frames") >= least).drop("_run")
