@@ -36,7 +36,7 @@ def src4_manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.format_string("%02d:07", (k % 50).cast("int"))
     rows = table(spark, sf_dir, "orders").select(
         F.concat(F.when(k % 11 == 0, "../").otherwise("audio/"), k.cast("string"), F.lit(".wav")).alias("audio"), F.col("o_custkey").cast("string").alias("speaker"),
-        F.when(k % 7 == 0, "bored").otherwise(" Happy ").alias("emotion"), F.round(F.col("o_totalprice") / 4000, 2).cast("string").alias("satisfaction"),
+        F.when(k % 7 == 0, "bored").otherwise(" Happy ").alias("emotion"), (F.col("o_totalprice") / 4000).cast("string").alias("satisfaction"),
         start.alias("start"), F.when(k % 13 == 0, "soon").when(k % 17 == 0, "3").otherwise("2:00:00").alias("end"), F.lit('es, "mx"').alias("language"),
     )
     path = shared_folder(spark, f"manifest-{uuid.uuid4().hex}")
