@@ -8,6 +8,7 @@ blocks before any sample is read.
 from __future__ import annotations
 
 import bisect
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-#: Bytes of a file that make a partition, unless the option `rangeBytes` says otherwise.
+#: Bytes of a file that make a range, unless the option `rangeBytes` says otherwise.
 RANGE = 64 << 20
+#: Tasks to which more ranges are dealt by their bytes, bytes that opening a file counts there, bytes of samples in a batch.
+TASKS, OPENING, BATCH = 500, 64 << 10, 4 << 20
 SCHEMA = "path string, offset_s double, sample_rate int, channel int, samples array<float>"
 
 
@@ -103,13 +106,24 @@ def wav_layout(file: BinaryIO, size: int) -> Pcm:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     size: int
     begin: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads: those of very many small files are too many for a task each."""
+
+    ranges: list[Range]
+
+    @property
+    def path(self) -> str:
+        return self.ranges[0].path
+
+
 class PcmReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -133,7 +147,7 @@ class PcmReader(DataSourceReader):
                 self.paths = named if self.paths is None else self.paths & named
             yield f
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         filesystem, inner = located(self.path)
         info = filesystem.get_file_info(inner)
         if info.type == fs.FileType.NotFound:
@@ -141,29 +155,56 @@ class PcmReader(DataSourceReader):
         found = [info] if info.type == fs.FileType.File else filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
         prefix = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
         files = [(prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.extension.lower() == "wav"]
-        return [Range(path, size, at, min(size, at + self.bytes)) for path, size in sorted(files) if self.paths is None or path in self.paths for at in range(0, size, self.bytes)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        """The blocks that begin in the range, one row a channel. A file without samples that can be read has no row."""
-        with opened(partition.path) as file:
-            try:
-                pcm = wav_layout(file, partition.size)
-            except ValueError:
-                return
-            block = max(1, int(self.seconds * pcm.rate))
-            # A block belongs to the range that holds the byte of its first sample.
-            starts = range(0, pcm.frames, block)
-            first = bisect.bisect_left(starts, partition.begin, key=lambda s: pcm.begin + s * pcm.frame)
+        ranges = [Range(path, size, at, min(size, at + self.bytes)) for path, size in sorted(files) if self.paths is None or path in self.paths for at in range(0, size, self.bytes)]
+        weights = [r.end - r.begin + OPENING for r in ranges]
+        share, held = max(1, sum(weights) // TASKS), 0
+        packed: list[Ranges] = []
+        for r, weight in zip(ranges, weights, strict=True):
+            # With few ranges each one is more than a share.
+            if not packed or held + weight > share:
+                packed.append(Ranges([]))
+                held = 0
+            packed[-1].ranges.append(r)
+            held += weight
+        return packed
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        """The blocks that begin in the ranges, one row a channel. A file without samples that can be read has no row."""
+        held: list[tuple] = []
+        weight = 0
+        for path, ranges in itertools.groupby(partition.ranges, key=lambda r: r.path):
+            with opened(path) as file:
+                for row in self._blocks(file, path, list(ranges)):
+                    held.append(row)
+                    weight += row[4].nbytes
+                    if weight >= BATCH:
+                        yield _batch(held)
+                        held, weight = [], 0
+        if held:
+            yield _batch(held)
+
+    def _blocks(self, file: Any, path: str, ranges: list[Range]) -> Iterator[tuple]:
+        try:
+            pcm = wav_layout(file, ranges[0].size)
+        except ValueError:
+            return
+        block = max(1, int(self.seconds * pcm.rate))
+        # A block belongs to the range that holds the byte of its first sample.
+        starts = range(0, pcm.frames, block)
+        for r in ranges:
+            first = bisect.bisect_left(starts, r.begin, key=lambda s: pcm.begin + s * pcm.frame)
             first = max(first, bisect.bisect_left(starts, self.least, key=lambda s: s / pcm.rate))
             for start in starts[first:]:
-                if pcm.begin + start * pcm.frame >= partition.end or start / pcm.rate > self.most:
-                    return
+                if pcm.begin + start * pcm.frame >= r.end or start / pcm.rate > self.most:
+                    break
                 x = pcm.read(file, start, block)
-                n = x.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.path] * n), pa.array([start / pcm.rate] * n), pa.array([pcm.rate] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([x[:, c] for c in range(n)], pa.list_(pa.float32()))],
-                    names=["path", "offset_s", "sample_rate", "channel", "samples"],
-                )
+                for c in range(x.shape[1]):
+                    yield path, start / pcm.rate, pcm.rate, c, x[:, c]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.float32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "offset_s", "sample_rate", "channel", "samples"])
 
 
 class PcmBlocks(DataSource):
