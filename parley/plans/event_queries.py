@@ -36,7 +36,8 @@ def ev2_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ev3_timeline_moves")
 def ev3_timeline_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(events.timeline_moves(_timeline(spark, sf_dir), events.indices(fixtures.cells(spark, sf_dir))))
+    cells = written(fixtures.cells(spark, sf_dir))
+    return _shown(events.timeline_moves(satisfaction.timeline(cells, KEYS), events.indices(cells)))
 
 
 @query("ev4_endings", f"""with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)}, z as (select call_id, speaker, min(t) as t0, max(t) as t1 from cells group by 1, 2)
@@ -44,7 +45,7 @@ select call_id, speaker, greatest(t0, t1 - least(greatest(0.2::double * (t1 - t0
   {rounded_sql('least(1.0::double, abs(final_state))', 4)} as severity, {rounded_sql('0.4::double + 0.5::double * least(1.0::double, abs(final_state))', 4)} as confidence
 from scored join z using (call_id, speaker) where n >= 5 and abs(final_state) >= 0.2""")
 def ev4_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(events.endings(fixtures.cells(spark, sf_dir)))
+    return _shown(events.endings(fixtures.cells(spark, sf_dir, texts=False)))
 
 
 @query("ev5_conflicts")
@@ -55,7 +56,8 @@ def ev5_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ev6_critical_events")
 def ev6_critical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.critical_events(fixtures.cells(spark, sf_dir), _timeline(spark, sf_dir), intervals.overlaps(fixtures.turns(spark, sf_dir)), fixtures.utterances(spark, sf_dir))
+    cells = written(fixtures.cells(spark, sf_dir))
+    found = events.critical_events(cells, written(satisfaction.timeline(cells, KEYS)), intervals.overlaps(fixtures.turns(spark, sf_dir)), fixtures.utterances(spark, sf_dir), stored=True)
     return _shown(found).withColumn("evidence", F.to_json(F.transform("evidence", lambda x: F.struct(x["text"], x["start"], x["end"]))))
 
 
@@ -92,7 +94,8 @@ def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snk2_json_export")
 def snk2_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested JSON document per call: all that is known of it, each list in order."""
-    cells, timeline = written(fixtures.cells(spark, sf_dir)), written(_timeline(spark, sf_dir))
+    cells = written(fixtures.cells(spark, sf_dir))
+    timeline = written(satisfaction.timeline(cells, KEYS))
     t, said = fixtures.turns(spark, sf_dir), fixtures.utterances(spark, sf_dir)
     found = events.critical_events(cells, timeline, intervals.overlaps(t), said, stored=True)
     scored = satisfaction.components(cells, KEYS).join(satisfaction.confidence(cells, KEYS), KEYS).join(satisfaction.initial_and_final(cells, KEYS).drop("delta").withColumnRenamed("trend", "direction"), KEYS, "left").join(satisfaction.speaker_metrics(cells, KEYS).select(*KEYS, "dominant", "frustration", "tension"), KEYS)
@@ -114,7 +117,8 @@ def snk3_satisfaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("snk3_events")
 def snk3_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.critical_events(fixtures.cells(spark, sf_dir), _timeline(spark, sf_dir), intervals.overlaps(fixtures.turns(spark, sf_dir)))
+    cells = written(fixtures.cells(spark, sf_dir))
+    found = events.critical_events(cells, written(satisfaction.timeline(cells, KEYS)), intervals.overlaps(fixtures.turns(spark, sf_dir)), stored=True)
     return exports.events_sheet(found)
 
 

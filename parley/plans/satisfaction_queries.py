@@ -162,7 +162,7 @@ def wn3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wn5_smoothing", f"with {fixtures.CELLS} select call_id, speaker, cell, round(avg(tension) over (partition by call_id, speaker order by t rows between 1 preceding and 1 following), 6) as s3, round(avg(tension) over (partition by call_id, speaker order by t rows between 5 preceding and 4 following), 6) as s10 from cells qualify count(*) over (partition by call_id, speaker) >= 10")
 def wn5_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, whole = Window.partitionBy(*KEYS).orderBy("t"), Window.partitionBy(*KEYS)
-    c = fixtures.cells(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(whole))
+    c = fixtures.cells(spark, sf_dir, texts=False).withColumn("n", F.count(F.lit(1)).over(whole))
     s3, s10 = (F.round(windows.smooth("tension", order, whole, k), 6) for k in (3, 10))
     return c.select(*KEYS, "cell", "n", s3.alias("s3"), s10.alias("s10")).where("n >= 10").drop("n")
 
@@ -170,17 +170,17 @@ def wn5_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wn9_runs", f"""with {fixtures.CELLS}, m as (select *, conf > 0.4 as hot, row_number() over (partition by call_id, speaker order by t) as i from cells), r as (select *, i - row_number() over (partition by call_id, speaker, hot order by t) as run from m)
 select call_id, speaker, min(cell) as first, count(*) as length from r where hot group by call_id, speaker, run having count(*) >= 5""")
 def wn9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = windows.runs(fixtures.cells(spark, sf_dir).withColumn("hot", F.col("conf") > 0.4), KEYS, "t", "hot").where("hot")
+    c = windows.runs(fixtures.cells(spark, sf_dir, texts=False).withColumn("hot", F.col("conf") > 0.4), KEYS, "t", "hot").where("hot")
     return c.groupBy(*KEYS, "_run").agg(F.min("cell").alias("first"), F.count(F.lit(1)).alias("length")).where("length >= 5").drop("_run")
 
 
 @query("wn11_mean_shift", f"""with {fixtures.CELLS} select call_id, speaker, cell, round(case when count(*) over a = 15 and count(*) over b = 15 then avg(conf) over a - avg(conf) over b else 0 end, 6) as shift from cells
 window a as (partition by call_id, speaker order by t rows between current row and 14 following), b as (partition by call_id, speaker order by t rows between 15 preceding and 1 preceding)""")
 def wn11_mean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.cells(spark, sf_dir).select(*KEYS, "cell", F.round(windows.mean_shift("conf", Window.partitionBy(*KEYS).orderBy("t"), 15), 6).alias("shift"))
+    return fixtures.cells(spark, sf_dir, texts=False).select(*KEYS, "cell", F.round(windows.mean_shift("conf", Window.partitionBy(*KEYS).orderBy("t"), 15), 6).alias("shift"))
 
 
 @query("ag2_mean_probabilities", f"with {fixtures.CELLS} select label, round(avg(x), 6) as mean, count(*) as n from (select unnest({LABELS}) as label, unnest(p) as x from cells) group by 1")
 def ag2_mean_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = fixtures.cells(spark, sf_dir).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, LABELS)), "p")).alias("label", "x"))
+    each = fixtures.cells(spark, sf_dir, texts=False).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, LABELS)), "p")).alias("label", "x"))
     return each.groupBy("label").agg(F.round(F.avg("x"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))

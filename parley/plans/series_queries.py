@@ -65,7 +65,7 @@ h as (select *, g - row_number() over (partition by call_id, speaker order by g)
 
 @query("wn10_hot_runs", f"{_ISLANDS} select call_id, speaker, min(g) * 2 as first_s, max(g) * 2 as last_s, {rounded_sql('max(v)', 6)} as v from h group by call_id, speaker, run having (max(g) - min(g)) * 2 >= 6")
 def wn10_hot_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = fixtures.cells(spark, sf_dir).groupBy(*KEYS, F.floor(F.col("cell") / 2).alias("g")).agg(F.max("conf").alias("v"))
+    g = fixtures.cells(spark, sf_dir, texts=False).groupBy(*KEYS, F.floor(F.col("cell") / 2).alias("g")).agg(F.max("conf").alias("v"))
     found = series.hot_runs(g.where("v >= 0.35").withColumn("s", F.col("g") * 2), KEYS, "s", "v", 2, 6)
     return found.withColumn("v", rounded("v", 6))
 
@@ -74,26 +74,26 @@ def wn10_hot_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wn13_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of smoothed confidence by call and speaker: height .3, 45 cells apart, prominence .08."""
     order, whole = Window.partitionBy(*KEYS).orderBy("t"), Window.partitionBy(*KEYS)
-    c = fixtures.cells(spark, sf_dir).select(*KEYS, "t", windows.smooth("conf", order, whole, 10).alias("x"))
+    c = fixtures.cells(spark, sf_dir, texts=False).select(*KEYS, "t", windows.smooth("conf", order, whole, 10).alias("x"))
     return series.peaks(c, KEYS, "t", "x", 0.3, 45, 0.08)
 
 
 @query("wn14_debounce")
 def wn14_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fixtures.cells(spark, sf_dir).where("conf > 0.4").select(*KEYS, "t", "conf")
+    c = fixtures.cells(spark, sf_dir, texts=False).where("conf > 0.4").select(*KEYS, "t", "conf")
     return windows.debounce(c, KEYS, "t", "conf", 45.0)
 
 
 @query("wn15_jumps", f"""with {fixtures.CELLS}, d as (select *, conf - lag(conf) over (partition by call_id, speaker order by t) as d from cells)
 select call_id, speaker, count(*) as n, {rounded_sql('coalesce(avg(case when d is not null then (abs(d) > 0.05)::int::double end), 0)', 6)} as jumps, {rounded_sql('stddev_pop(conf)', 6)} as spread from d group by 1, 2""")
 def wn15_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.jumps(fixtures.cells(spark, sf_dir), KEYS, "t", "conf", 0.05).select(*KEYS, "n", rounded("jumps", 6).alias("jumps"), rounded("spread", 6).alias("spread"))
+    return series.jumps(fixtures.cells(spark, sf_dir, texts=False), KEYS, "t", "conf", 0.05).select(*KEYS, "n", rounded("jumps", 6).alias("jumps"), rounded("spread", 6).alias("spread"))
 
 
 @query("wn16_trend", f"""with {fixtures.CELLS}, b as (select *, min(t) over w as t0, max(t) over w as t1 from cells window w as (partition by call_id, speaker))
 select call_id, speaker, {rounded_sql('case when count(*) >= 6 and max(t1 - t0) + 1 > 20 then regr_slope(conf, (t - t0) / greatest(t1 - t0, 1e-6)) else 0 end', 6)} as slope from b group by 1, 2""")
 def wn16_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.trend(fixtures.cells(spark, sf_dir), KEYS, "t", "conf").withColumn("slope", rounded("slope", 6))
+    return series.trend(fixtures.cells(spark, sf_dir, texts=False), KEYS, "t", "conf").withColumn("slope", rounded("slope", 6))
 
 
 def _argmax_sql(where: str) -> str:
@@ -106,7 +106,7 @@ select call_id, speaker, {_argmax_sql('i <= 30')} as initial_emotion, {_argmax_s
 def wn17_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.satisfaction import speaker_metrics
 
-    return speaker_metrics(fixtures.cells(spark, sf_dir), KEYS).select(*KEYS, "initial_emotion", "final_emotion")
+    return speaker_metrics(fixtures.cells(spark, sf_dir, texts=False), KEYS).select(*KEYS, "initial_emotion", "final_emotion")
 
 
 @query("wn18_blocks")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from parley.operators import intervals
+from parley.plans import fixtures
 
 
 def test_no_frame_runs_to_the_end_of_a_call(spark):
@@ -13,3 +16,15 @@ def test_no_frame_runs_to_the_end_of_a_call(spark):
     assert [(r["label"], r["n_speakers"]) for r in found.where("call_id = 2").orderBy("turn").collect()] == [("P1", 1)] * 3  # the first turn looks ahead
     plan = found._jdf.queryExecution().analyzed().toString().lower()
     assert "currentrow$(), unboundedfollowing$()" not in plan and "0, unboundedfollowing" not in plan
+
+
+def test_seconds_are_dealt_by_the_number_of_turns(spark, tmp_path, monkeypatch):
+    rows = [(c, t, ("user", "assistant")[t % 2], "word " * (1 + (c + t) % 40)) for c in range(60) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(fixtures, "TURNS_A_TASK", 20)
+    plain = fixtures.cells(spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r["part"] for r in plain}) > 8  # of 13; a call's seconds are all in one
+    assert len({(r["call_id"], r["part"]) for r in plain}) == len({r["call_id"] for r in plain}) == 60
+    without = fixtures.cells(spark, str(tmp_path), texts=False).collect()
+    assert {(r["call_id"], r["speaker"], r["cell"], r["conf"], r["tension"]) for r in plain} == {(r["call_id"], r["speaker"], r["cell"], r["conf"], r["tension"]) for r in without}
+    assert {r["text_score"] for r in without} == {None} != {r["text_score"] for r in plain}
