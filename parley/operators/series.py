@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -62,12 +63,14 @@ def peaks(series: DataFrame, keys: list[str], time: str, value: str, height: flo
     """series(keys, time, value) -> keys, time, value of its peaks. A key's series is one call's cells, a few thousand
     rows; a task gets many keys."""
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(time)
-        return group.iloc[find_peaks(group[value].to_numpy(), height, distance, prominence)]
+    def each(group: pa.Table) -> pa.Table:
+        group = group.sort_by(time)
+        return group.take(pa.array(find_peaks(group.column(value).to_numpy(), height, distance, prominence)))
 
     rows = series.select(*keys, time, value).where(F.col(value).isNotNull())
-    return rows.groupBy(*keys).applyInPandas(each, rows.schema)
+    # A series that doesn't reach the height has no peak and stays in the JVM.
+    high = rows.withColumn("_most", F.max(value).over(Window.partitionBy(*keys))).where(F.col("_most") >= height).drop("_most")
+    return high.groupBy(*keys).applyInArrow(each, rows.schema)
 
 
 def jumps(series: DataFrame, keys: list[str], time: str, value: str, step: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import intervals
+from parley.operators import intervals, series
 from parley.plans import fixtures
 
 
@@ -28,3 +28,12 @@ def test_seconds_are_dealt_by_the_number_of_turns(spark, tmp_path, monkeypatch):
     without = fixtures.cells(spark, str(tmp_path), texts=False).collect()
     assert {(r["call_id"], r["speaker"], r["cell"], r["conf"], r["tension"]) for r in plain} == {(r["call_id"], r["speaker"], r["cell"], r["conf"], r["tension"]) for r in without}
     assert {r["text_score"] for r in without} == {None} != {r["text_score"] for r in plain}
+
+
+def test_flat_series_are_not_searched_for_peaks(spark):
+    rows = [(k, float(t), 0.9 if k == 3 and t in (4, 12) else 0.1) for k in range(6) for t in range(20)]
+    frame = spark.createDataFrame(rows, "k long, t double, v double").repartition(3)
+    found = series.peaks(frame, ["k"], "t", "v", 0.5, 1)
+    assert sorted(map(tuple, found.collect())) == [(3, 4.0, 0.9), (3, 12.0, 0.9)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 0.5" in plan and "FlatMapGroupsInArrow" in plan
