@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tf
+from ..sources.audio import small_batches
 from .registry import query, table
 
 
@@ -43,6 +44,7 @@ def sf3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redacted(rows: DataFrame, text: str, where: Column | None = None) -> DataFrame:
     """rows with the personal data of `text` replaced by placeholders, where the condition holds; null is empty. Only
     texts with a mark of personal data leave the JVM."""
+    small_batches(rows.sparkSession)
     asked = tf.may_have_pii(F.col(text)) & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
     plain = rows.where(~asked).withColumn(text, F.coalesce(text, F.lit("")))
     return plain.union(rows.where(asked).withColumn(text, _redact()(F.col(text))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.operators import intervals, series
-from parley.plans import fixtures
+from parley.plans import fixtures, text_queries
 
 
 def test_no_frame_runs_to_the_end_of_a_call(spark):
@@ -37,3 +37,15 @@ def test_flat_series_are_not_searched_for_peaks(spark):
     assert sorted(map(tuple, found.collect())) == [(3, 4.0, 0.9), (3, 12.0, 0.9)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert ">= 0.5" in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_texts_are_redacted_in_small_batches(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.unset(n)
+    docs = spark.createDataFrame([(1, "call 600123456 or a@b.com")], "doc_id long, text string")
+    assert "a@b.com" not in text_queries.redacted(docs, "text").first()["text"]
+    assert int(spark.conf.get(names[0])) <= 1000 and 0 < int(spark.conf.get(names[1])) <= 8 << 20
+    for n, value in zip(names, before, strict=True):
+        spark.conf.set(n, value)
