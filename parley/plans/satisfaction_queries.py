@@ -44,12 +44,18 @@ def se_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*KEYS, "n", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in [*engine.COMPONENTS, "B"]), F.round("score", 3).alias("score"))
 
 
+def at_least_one(found: DataFrame) -> DataFrame:
+    """Contributions of one point at least. A point in exact numbers comes out as 1 - 2e-15 or 1 + 1e-15 by the order of the
+    sums; it counts as one in any order."""
+    return found.where("abs(points) >= 1 - 1e-9D")
+
+
 @query("se8_contributions", f"""with {fixtures.CELLS}, {_components('cells', 'call_id, speaker', (0.2, 30, 300), 1.0)},
 w as (select *, 4.5::double + case when text is null then 0 else 0.4::double end + case when prosody is null then 0 else 0.25::double end as bottom from scored),
 e as ({' union all '.join(f"select call_id, speaker, '{c}' as component, {c} as value, 50 * 1.6::double * {x}::double * {c} / bottom as points from w" for c, x in (('signal', 1.0), ('final_state', 1.2), ('trend', 1.0), ('persistence', 1.0), ('stability', 0.3), ('text', 0.4), ('prosody', 0.25)))})
 select call_id, speaker, component, round(value + 1e-9::double, 4) as value, round(points + 1e-9::double, 2) as points from e where value is not null and abs(points) >= 1""")
 def se8_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine.contributions(engine.components(fixtures.cells(spark, sf_dir), KEYS)).where("abs(points) >= 1")
+    found = at_least_one(engine.contributions(engine.components(fixtures.cells(spark, sf_dir), KEYS)))
     return found.withColumn("value", F.round(F.col("value") + 1e-9, 4)).withColumn("points", F.round(F.col("points") + 1e-9, 2))
 
 
