@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +54,41 @@ def calibration_error(rows: DataFrame, confidence: str, correct: str, bins: int
     return per.agg((F.sum(F.when(F.col("bin").isNotNull(), F.abs(F.col("a") - F.col("c")))) / F.sum("n")).alias("ece"))
 
 
+def _losses(grid: list[float]):
+    """Batches of (p, truth) -> a row a batch: n, and the sum of the negative log-likelihoods at each temperature."""
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = 1e-12
+        for batch in batches:
+            lists, truth = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = pc.fill_null(lists.flatten(), least).to_numpy(zero_copy_only=False)
+            begins = np.cumsum(sizes) - sizes
+            at = pc.fill_null(truth, -1).to_numpy(zero_copy_only=False)
+            # Rows without a probability of their label count as the least one.
+            known = (at >= 0) & (at < sizes)
+            logs = np.log(np.maximum(flat, least))
+            own, full = logs[(begins + at)[known]], sizes > 0
+            sums = []
+            for t in grid:
+                total = np.full(len(sizes), np.nan)
+                if full.any():
+                    total[full] = np.add.reduceat(np.exp(logs / t), begins[full])
+                ratio = np.exp(own / t) / total[known]
+                sums.append(float(-np.log(np.maximum(ratio, least)).sum() - np.log(least) * (~known).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([len(sizes)], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], names=["n", "sums"])
+
+    return losses
+
+
 def best_temperature(rows: DataFrame, p: str, truth: str, grid: list[float]) -> DataFrame:
     """temperature, nll: of a grid, the first with the least mean negative log-likelihood of the label number `truth`.
 
-    The grid is one array of sums per row, so the rows are read once and not once for each temperature.
+    Batches of rows are summed up for all temperatures at once, so the rows are read once and not once for each; no row
+    gives one of nulls.
     """
-
-    def loss(t: float) -> Column:
-        q = F.transform(F.col(p), lambda x: F.pow(F.greatest(x, F.lit(1e-12)), F.lit(1 / t)))
-        return F.avg(-F.log(F.greatest(F.get(q, F.col(truth).cast("int")) / _total(q), F.lit(1e-12))))
-
-    pairs = F.array(*(F.struct(loss(t).alias("nll"), F.lit(t).alias("temperature")) for t in grid))
-    return rows.agg(F.array_min(pairs).alias("best")).select("best.temperature", "best.nll")
+    pairs = rows.select(F.col(p).cast("array<double>").alias("p"), F.col(truth).cast("int").alias("truth"))
+    sums = pairs.mapInArrow(_losses(grid), "n long, sums array<double>")
+    n = F.sum("n")
+    means = F.array(*(F.struct((F.sum(F.col("sums")[i]) / n).alias("nll"), F.when(n > 0, F.lit(t)).alias("temperature")) for i, t in enumerate(grid)))
+    return sums.agg(F.array_min(means).alias("best")).select("best.temperature", "best.nll")

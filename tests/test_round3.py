@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
+
+from parley.operators import fusion
 from parley.plans.satisfaction_queries import at_least_one
 
 
 def test_a_point_is_one_in_any_order_of_its_sum(spark):
     rows = [(1, 0.9999999999999984), (2, 1.0000000000000002), (3, -0.9999999999999993), (4, 0.99999), (5, None)]
     assert {r["call_id"] for r in at_least_one(spark.createDataFrame(rows, "call_id long, points double")).collect()} == {1, 2, 3}
+
+
+def test_temperature_of_odd_rows_is_that_of_a_plain_loop(spark):
+    rows = [(1, [0.7, 0.2, 0.1], 0), (2, [0.1, 0.6, 0.3], 2), (3, [0.0, 1.0, 0.0], 0), (4, [], 0), (5, None, 1), (6, [0.5, 0.5], None), (7, [0.5, None, 0.5], 1), (8, [0.2, 0.8], 5)]
+    grid, nll = [0.5, 1.0, 3.0], {}
+    for t in grid:
+        losses = []
+        for _, p, truth in rows:
+            q = [max(x or 0.0, 1e-12) ** (1 / t) for x in p or []]
+            losses.append(-math.log(max(q[truth] / sum(q), 1e-12) if truth is not None and truth < len(q) else 1e-12))
+        nll[t] = sum(losses) / len(losses)
+    df = spark.createDataFrame(rows, "id long, p array<double>, truth int")
+    found = fusion.best_temperature(df, "p", "truth", grid).first()
+    best = min(grid, key=nll.get)
+    assert found["temperature"] == best and abs(found["nll"] - nll[best]) < 1e-12
+    none = fusion.best_temperature(df.limit(0), "p", "truth", grid).first()
+    assert none["nll"] is None
+
+
+def test_a_batch_of_rows_is_one_row_of_sums():
+    batch = pa.RecordBatch.from_arrays([pa.array([[0.5, 0.5]] * 1000), pa.array([1] * 1000, pa.int32())], names=["p", "truth"])
+    (sums,) = fusion._losses([1.0, 2.0])(iter([batch]))
+    assert sums.num_rows == 1 and sums.column(0).to_pylist() == [1000]
