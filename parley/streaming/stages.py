@@ -43,24 +43,35 @@ class StageMachine(StatefulProcessor):
         self.handle = handle
         self.known = handle.getMapState("stages", "stage string", "status string, done long, total long, attempt int, at long")
 
+    def _load(self) -> None:
+        """The call's stages in memory: one reading of the state for all its reports, and not several for each."""
+        self.now = {tuple(k)[0]: tuple(v) for k, v in self.known.iterator()}
+        self.changed: set[str] = set()
+
+    def _keep(self) -> None:
+        for stage in sorted(self.changed):
+            self.known.updateValue((stage,), self.now[stage])
+
     def _stage(self, stage: str) -> tuple[str, int, int, int, int]:
-        return tuple(self.known.getValue((stage,))) if self.known.containsKey((stage,)) else ("PENDING", 0, 0, 0, 0)
+        return self.now.get(stage, ("PENDING", 0, 0, 0, 0))
 
-    def _put(self, call: Any, stage: str, row: tuple, error: str | None) -> dict[str, Any]:
-        self.known.updateValue((stage,), row)
+    def _put(self, call: Any, stage: str, row: tuple, error: str | None) -> tuple:
+        self.now[stage] = row
+        self.changed.add(stage)
         status, done, total, attempt, at = row
-        return {"call_id": call, "stage": stage, "status": status, "done": done, "total": total, "attempt": attempt, "at": pd.Timestamp(at, unit="us"), "error": error}
+        return (call, stage, status, done, total, attempt, at, error)
 
-    def _silent(self, call: Any, until: int) -> list[dict[str, Any]]:
+    def _silent(self, call: Any, until: int) -> list[tuple]:
         """Stages that run and had no report for too long before `until` (microseconds)."""
         found = []
-        for (stage,), (status, done, total, attempt, at) in sorted((tuple(k), tuple(v)) for k, v in self.known.iterator()):
+        for stage, (status, done, total, attempt, at) in sorted(self.now.items()):
             if status == "RUNNING" and until - at >= 1000 * self.silence_ms:
                 found.append((stage, ("FAILED", done, total, attempt, at + 1000 * self.silence_ms)))
         return [self._put(call, stage, row, "silent") for stage, row in found]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         call, out = key[0], []
+        self._load()
         reports = pd.concat(list(rows)).sort_values(["at_us", "stage", "kind"], kind="stable")
         for r in reports.itertuples(index=False):
             at = int(r.at_us)
@@ -77,6 +88,7 @@ class StageMachine(StatefulProcessor):
             if r.kind == "done":
                 done, total = max(done, int(r.done)), int(r.total)
             out.append(self._put(call, r.stage, (after, done, total, attempt, at), r.error if r.kind == "fail" else None))
+        self._keep()
         running = [self._stage(s)[4] for s in self.stages if self._stage(s)[0] == "RUNNING"]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -85,14 +97,18 @@ class StageMachine(StatefulProcessor):
         yield _rows(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield _rows(self._silent(key[0], 1000 * expiredTimerInfo.getExpiryTimeInMs()))
+        self._load()
+        out = self._silent(key[0], 1000 * expiredTimerInfo.getExpiryTimeInMs())
+        self._keep()
+        yield _rows(out)
 
     def close(self) -> None:
         pass
 
 
-def _rows(found: list[dict[str, Any]]) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=["call_id", "stage", "status", "done", "total", "attempt", "at", "error"])
+def _rows(found: list[tuple]) -> pd.DataFrame:
+    rows = pd.DataFrame(found, columns=["call_id", "stage", "status", "done", "total", "attempt", "at", "error"])
+    return rows.assign(at=pd.to_datetime(rows["at"], unit="us"))
 
 
 def stage_states(reports: DataFrame, stages: list[str] | None = None, silence: float = 600.0, late: str = "1 minute") -> DataFrame:

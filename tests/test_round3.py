@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pyarrow as pa
 
 from parley.operators import fusion
 from parley.plans.satisfaction_queries import at_least_one
+from parley.streaming import stages
 
 
 def test_a_point_is_one_in_any_order_of_its_sum(spark):
@@ -36,3 +38,45 @@ def test_a_batch_of_rows_is_one_row_of_sums():
     batch = pa.RecordBatch.from_arrays([pa.array([[0.5, 0.5]] * 1000), pa.array([1] * 1000, pa.int32())], names=["p", "truth"])
     (sums,) = fusion._losses([1.0, 2.0])(iter([batch]))
     assert sums.num_rows == 1 and sums.column(0).to_pylist() == [1000]
+
+
+class CountedStates:
+    """A map state that counts how often it is asked."""
+
+    def __init__(self):
+        self.rows, self.asked = {}, 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.rows[key]
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.rows
+
+    def updateValue(self, key, row):
+        self.asked += 1
+        self.rows[key] = row
+
+    def iterator(self):
+        self.asked += 1
+        return iter(list(self.rows.items()))
+
+
+class Timers:
+    def listTimers(self):
+        return iter(())
+
+    def registerTimer(self, at):
+        pass
+
+
+def test_state_of_a_call_is_not_asked_for_each_of_its_reports():
+    machine = stages.StageMachine(["a", "b"], 1_000_000)
+    machine.known, machine.handle = CountedStates(), Timers()
+    rows = [("a", "start", 0, 0)] + [("a", "done", i, 300) for i in range(1, 300)] + [("a", "complete", 0, 0), ("b", "start", 0, 0)]
+    reports = pd.DataFrame([(s, k, d, n, i, None) for i, (s, k, d, n) in enumerate(rows)], columns=["stage", "kind", "done", "total", "at_us", "error"])
+    (found,) = machine.handleInputRows((7,), iter([reports[:150], reports[150:]]), None)
+    assert len(found) == 302 and found.iloc[-2][["stage", "status", "done"]].tolist() == ["a", "COMPLETED", 299]
+    assert machine.known.rows == {("a",): ("COMPLETED", 299, 300, 1, 300), ("b",): ("RUNNING", 0, 0, 1, 301)}
+    assert machine.known.asked <= 4
