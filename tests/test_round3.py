@@ -7,6 +7,7 @@ import math
 import pandas as pd
 import pyarrow as pa
 
+from parley.llm.line_dedup import duplicate_lines
 from parley.operators import fusion
 from parley.plans.satisfaction_queries import at_least_one
 from parley.streaming import stages
@@ -80,3 +81,18 @@ def test_state_of_a_call_is_not_asked_for_each_of_its_reports():
     assert len(found) == 302 and found.iloc[-2][["stage", "status", "done"]].tolist() == ["a", "COMPLETED", 299]
     assert machine.known.rows == {("a",): ("COMPLETED", 299, 300, 1, 300), ("b",): ("RUNNING", 0, 0, 1, 301)}
     assert machine.known.asked <= 4
+
+
+def test_lines_that_repeat_their_runs_are_compared(spark):
+    from .llm.test_pairs import brute_lines, docs_of
+
+    words = ["la"] * 60
+    edited = [*words[:30], "lo", *words[31:]]
+    # Runs that come often can fill the smallest ones of a line, and leave it one run to share.
+    texts = [(i, " ".join(x)) for i, x in enumerate((words, edited))]
+    for i, (a, b, c) in enumerate((("one", "two", "three"), ("red", "green", "blue"), ("up", "down", "left"), ("north", "south", "east"), ("cat", "dog", "cow"), ("tea", "milk", "salt"))):
+        line = [*[a] * 40, b, c, *[a] * 40]
+        texts += [(10 + 2 * i, " ".join(line)), (11 + 2 * i, " ".join([*line[:20], "x", *line[21:], "y"]))]
+    expected = brute_lines(texts)
+    assert len(expected) == 7
+    assert {r["doc_id"]: r["dropped"] for r in duplicate_lines(docs_of(spark, texts)).collect()} == expected
