@@ -83,16 +83,27 @@ def endings(cells: DataFrame) -> DataFrame:
 def conflicts(found: DataFrame, overlaps: DataFrame, step: int = 2, near: float = 6) -> DataFrame:
     """possible_conflict events: both speakers of a call are tense at once, on a grid of `step` seconds, for six seconds
     at least; overlapping speech in it adds a tenth."""
-    calls = found.groupBy("call_id").agg(F.max("t").alias("last"), F.count_distinct("speaker").alias("n")).where("n = 2")
-    grid = calls.select("call_id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("last") / step).cast("int") - 1)).alias("g")).select("call_id", (F.col("g") * step).cast("double").alias("t"))
-    speakers = found.select(*KEYS).distinct()
-    points = grid.join(speakers, "call_id")
-    series = found.select(*KEYS, "t", F.col("tension_i").alias("x"))
-    ends = series.groupBy(*KEYS).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    x = asof_interpolate(points, series, KEYS, "t", "x").join(ends, KEYS).withColumn("x", F.when(F.col("t").between(F.col("t0"), F.col("t1")), F.col("x")).otherwise(0.0)).drop("t0", "t1")
-    x = nearest(x, series.select(*KEYS, "t", F.col("t").alias("s")), KEYS, "t", "s")
-    both = x.groupBy("call_id", "t").agg(F.min("x").alias("v"), F.max(F.abs(F.col("t") - F.col("s"))).alias("away"))
-    runs = hot_runs(both.where((F.col("v") >= _E["conflict"]) & (F.col("away") <= near)), ["call_id"], "t", "v", step, near)
+    least = _E["conflict"]
+    ends = found.groupBy(*KEYS).agg(F.max("t").alias("t1"))
+    calls = ends.groupBy("call_id").agg(F.max("t1").alias("last"), F.count(F.lit(1)).alias("n")).where("n = 2")
+    order = Window.partitionBy(*KEYS).orderBy("t")
+    # Between two cells of a speaker values are linear, and points of the grid beyond the first and last cell count 0: a
+    # cell and the next one say which points between them are tense, and no others are made.
+    next_ = F.lead(F.struct("t", F.col("tension_i").alias("x"))).over(order)
+    pieces = found.select(*KEYS, F.col("t").alias("t0"), F.col("tension_i").alias("x0"), next_.alias("next")).select(*KEYS, "t0", "x0", F.col("next.t").alias("t1"), F.col("next.x").alias("x1"))
+    pieces = pieces.where(F.greatest("x0", "x1") >= least - 1e-6)
+    # The point of the next cell is that cell's own; the last cell has its own only. Of a gap its two ends are near a cell.
+    first, last = F.ceil(F.col("t0") / step), F.coalesce(F.ceil(F.col("t1") / step) - 1, F.floor(F.col("t0") / step))
+    pieces = pieces.withColumns({"first": F.greatest(first, F.lit(0)), "last": last}).where("first <= last")
+    pieces = pieces.withColumn("until", F.least(F.col("last"), F.floor((F.col("t0") + near) / step) + 1))
+    pieces = pieces.withColumn("again", F.greatest(F.col("until") + 1, F.ceil((F.col("t1") - near) / step) - 1))
+    near_it = F.concat(F.sequence("first", "until"), F.when(F.col("again") <= F.col("last"), F.sequence("again", "last")).otherwise(F.array().cast("array<bigint>")))
+    points = pieces.withColumn("g", F.explode(near_it)).withColumn("t", (F.col("g") * step).cast("double"))
+    x = F.coalesce(F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")), "x0")
+    points = points.withColumns({"x": x, "away": F.least(F.col("t") - F.col("t0"), F.col("t1") - F.col("t"))}).where((F.col("x") >= least) & (F.col("away") <= near))
+    tense = points.groupBy("call_id", "t").agg(F.min("x").alias("v"), F.count(F.lit(1)).alias("both")).where("both = 2")
+    both = tense.join(calls, "call_id").where("t < last").select("call_id", "t", "v")
+    runs = hot_runs(both, ["call_id"], "t", "v", step, near)
     spoken = runs.join(overlaps.select("call_id", (F.col("at_ms") / 1000).alias("a"), ((F.col("at_ms") + F.col("overlap_ms")) / 1000).alias("b")), "call_id").where("b > first_s and a < last_s")
     shared = spoken.groupBy("call_id", "first_s").agg(F.sum(F.least("b", "last_s") - F.greatest("a", "first_s")).alias("o"))
     out = runs.join(shared, ["call_id", "first_s"], "left")
