@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,12 +106,12 @@ def contributions(found: DataFrame) -> DataFrame:
     return found.withColumn("_c", F.explode(each)).where("_c.value is not null").select("call_id", "speaker", "_c.*")
 
 
-def _slice_scores(t: np.ndarray, v: np.ndarray, a: np.ndarray, text: np.ndarray, tension: np.ndarray, first: np.ndarray, last: np.ndarray, final: tuple[float, float, float], trend_factor: float) -> np.ndarray:
-    """The score of components() for many slices of one series at once: cells first to last (excluded) each, nan for slices
-    without a cell. All slices are rows of one matrix, as long as the longest of them."""
+def _slice_scores(t: np.ndarray, v: np.ndarray, a: np.ndarray, text: np.ndarray, tension: np.ndarray, first: np.ndarray, last: np.ndarray, final: tuple[float, float, float], trend_factor: float, width: int = 0) -> np.ndarray:
+    """The score of components() for many slices of series at once: cells first to last (excluded) each, nan for slices
+    without a cell. All slices are rows of one matrix, as long as the longest of them or `width`."""
     settings = DEFAULTS["satisfaction"]
     n = last - first
-    at = np.arange(max(1, int(n.max(initial=0))))
+    at = np.arange(width or max(1, int(n.max(initial=0))))
     inside = at < n[:, None]
     cell = np.where(inside, first[:, None] + at, 0)
     rows = len(n)
@@ -165,30 +166,84 @@ def timeline(cells: DataFrame, keys: list[str]) -> DataFrame:
     smoothed exponentially; a step with fewer than three cells repeats the value before, and there is none before the
     first step with three.
 
-    Each cell is shuffled once. A key is one speaker of one call, 43,200 cells at most, and a task's whole work on it is a
-    few passes over one matrix of steps by sixty cells.
+    Each cell is shuffled once. A key is one speaker of one call, 43,200 cells at most. A task takes many keys together:
+    their slices of equal length are rows of one matrix.
     """
-    step, window, alpha = (DEFAULTS["satisfaction"]["timeline"][x] for x in ("step", "window", "ema"))
-
-    def line(group: pa.Table) -> pa.Table:
-        group = group.sort_by("t")
-        t, v, a, text, tension, cell = (group.column(c).to_numpy().astype(float) for c in ("t", "v", "a", "text_score", "tension", "cell"))
-        duration = cell.max() + 1.0
-        steps = np.arange(math.ceil((duration + step) / step))
-        first, last = np.searchsorted(t, steps * step - window, "left"), np.searchsorted(t, steps * step + 1e-6, "right")
-        scores = np.concatenate([_slice_scores(t, v, a, text, tension, first[i : i + 1024], last[i : i + 1024], (0.4, 5, window), 0.5) for i in range(0, len(steps), 1024)])
-        ema, out = None, []
-        for k, (score, n) in enumerate(zip(scores.tolist(), (last - first).tolist(), strict=True)):
-            if n >= 3:
-                ema = score if ema is None else alpha * score + (1 - alpha) * ema
-            if ema is not None:
-                out.append((min(k * step, duration), ema))
-        columns = [pa.repeat(group.column(k)[0], len(out)) for k in keys]
-        return pa.Table.from_arrays([*columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64())], names=[*keys, "t", "score"])
-
     rows = valence(cells).select(*keys, "t", "cell", "v", "a", F.col("text_score").cast("double"), F.col("tension").cast("double"))
     fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInArrow(line, f"{fields}, t double, score double")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(_lines(keys), f"{fields}, t double, score double")
+
+
+#: Cells whose timelines a task works out together, keys uncut, and slices that are rows of one matrix.
+_CELLS_AT_ONCE, _SLICES = 100_000, 1024
+
+
+def _lines(keys: list[str]):
+    """Cells in the order of keys and time -> the timelines of their keys."""
+    step, window, alpha = (DEFAULTS["satisfaction"]["timeline"][x] for x in ("step", "window", "ema"))
+
+    def begins_of(rows: pa.Table) -> np.ndarray:
+        """The rows where another key begins than that of the row before."""
+        new = np.zeros(rows.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            codes = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new)
+
+    def lines(rows: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        t, v, a, text, tension, cell = (rows.column(c).to_numpy().astype(float) for c in ("t", "v", "a", "text_score", "tension", "cell"))
+        firsts, lasts, durations, parts = [], [], [], {}
+        so_far = 0
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(t)], strict=True):
+            duration = cell[begin:end].max() + 1.0
+            steps = np.arange(math.ceil((duration + step) / step)) * step
+            first, last = begin + np.searchsorted(t[begin:end], steps - window, "left"), begin + np.searchsorted(t[begin:end], steps + 1e-6, "right")
+            for i in range(0, len(steps), _SLICES):
+                width = max(1, int((last - first)[i : i + _SLICES].max()))
+                parts.setdefault(width, []).append(np.arange(so_far + i, so_far + min(i + _SLICES, len(steps))))
+            so_far += len(steps)
+            firsts.append(first), lasts.append(last), durations.append(duration)
+        first, last = np.concatenate(firsts), np.concatenate(lasts)
+        scores = np.empty(so_far)
+        for width, found in parts.items():
+            found = np.concatenate(found)
+            for i in range(0, len(found), _SLICES):
+                some = found[i : i + _SLICES]
+                scores[some] = _slice_scores(t, v, a, text, tension, first[some], last[some], (0.4, 5, window), 0.5, width)
+        of, times, values = [], [], []
+        each, n = iter(scores.tolist()), iter((last - first).tolist())
+        for begin, duration, steps in zip(begins.tolist(), durations, map(len, firsts), strict=True):
+            ema, before = None, len(times)
+            for k in range(steps):
+                score = next(each)
+                if next(n) >= 3:
+                    ema = score if ema is None else alpha * score + (1 - alpha) * ema
+                if ema is not None:
+                    times.append(min(k * step, duration)), values.append(ema)
+            of += [begin] * (len(times) - before)
+        columns = [rows.column(k).combine_chunks().take(pa.array(of, pa.int64())) for k in keys]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(times, pa.float64()), pa.array(values, pa.float64())], names=[*keys, "t", "score"])
+
+    def timelines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < _CELLS_AT_ONCE:
+                continue
+            rows = pa.Table.from_batches(held)
+            begins = begins_of(rows)
+            whole = int(begins[-1])  # the last key may go on
+            if whole:
+                yield lines(rows.slice(0, whole), begins[:-1])
+            held = rows.slice(whole).to_batches()
+            size = rows.num_rows - whole
+        if size:
+            rows = pa.Table.from_batches(held)
+            yield lines(rows, begins_of(rows))
+
+    return timelines
 
 
 def initial_and_final(cells: DataFrame, keys: list[str]) -> DataFrame:
