@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, stored
 
 #: Tools that may be called, with the types of their arguments; ? marks those that may be missing. A type
 #: is a name, {"enum": texts}, {"items": type} or {"fields": {name: type}}; the latter may be missing if "optional".
@@ -68,10 +68,12 @@ def _valid(call: Column, schemas: dict[str, dict]) -> Column:
 def _places(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, h, place, depth) of the results that are linked with a call: the turn they stand at, and their
     level behind the message that stands there by its own turn."""
-    calls = parsed.where("size(calls) > 0").select("conv_id", "turn", "h", F.explode("calls.id").alias("answers")).where("answers is not null")
+    # Identifiers only, written once and then asked: a condition on what is parsed would parse all texts for itself.
+    ids = stored(parsed.select("conv_id", "turn", "h", "answers", F.col("calls.id").alias("ids")))
+    calls = ids.select("conv_id", "turn", "h", F.explode("ids").alias("answers")).where("answers is not null")
     first = calls.groupBy("conv_id", "answers").agg(F.min(F.struct("turn", "h")).alias("call"))
-    links = parsed.where("answers is not null").select("conv_id", "turn", "h", "answers").join(first, ["conv_id", "answers"])
-    links = cut(links.select("conv_id", "turn", "h", F.col("call.turn").alias("call_turn"), F.col("call.h").alias("call_h")))
+    links = ids.where("answers is not null").select("conv_id", "turn", "h", "answers", (F.size("ids") > 0).alias("calls")).join(first, ["conv_id", "answers"])
+    links = cut(links.select("conv_id", "turn", "h", "calls", F.col("call.turn").alias("call_turn"), F.col("call.h").alias("call_h")))
     caller = [F.col("l.conv_id") == F.col("c.conv_id"), F.col("l.call_turn") == F.col("c.turn"), F.col("l.call_h") == F.col("c.h")]
 
     def placed(rows: DataFrame, place: Column, depth: Column) -> DataFrame:
@@ -79,8 +81,11 @@ def _places(parsed: DataFrame) -> DataFrame:
         return rows.select("l.conv_id", "l.turn", "l.h", at.alias("place"), F.when(F.col("l.turn") > place, 0).otherwise(depth + 1).alias("depth"))
 
     # Calls of messages that are no linked results stand where they are; level by level the others follow.
-    waits = links.alias("l").join(links.alias("c"), caller, "left_semi")
-    done = placed(links.alias("l").join(links.alias("c"), caller, "left_anti"), F.col("l.call_turn"), F.lit(0))
+    callers = links.where("calls")
+    if callers.isEmpty():
+        return placed(links.alias("l"), F.col("l.call_turn"), F.lit(0))
+    waits = links.alias("l").join(callers.alias("c"), caller, "left_semi")
+    done = placed(links.alias("l").join(callers.alias("c"), caller, "left_anti"), F.col("l.call_turn"), F.lit(0))
     last, open_ = done, cut(waits)
     while left := open_.count():
         done, last = cut(done), cut(last)
