@@ -6,14 +6,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from parley.plans import QUERIES
+from parley.plans import QUERIES, audio_queries
 from parley.sources import audio
 
 
 @pytest.fixture()
 def talks(tmp_path):
     texts = [" ".join(f"word{(7 * i + j) % 40}" for j in range(5 * i % 70)) for i in range(24)] + [None, ""]
+    # Long words: of these texts, one at a time becomes sound.
+    texts += [" ".join(f"{i}" * 7_000 for _ in range(k)) for i in range(30) for k in (3, 4, 6)]
     n = len(texts)
     rows = {"conv_id": [i // 9 for i in range(n)], "turn": list(range(n)), "role": [("user", "assistant")[i % 2] for i in range(n)], "text": texts}
     pq.write_table(pa.table(rows), tmp_path / "conversations.parquet")
@@ -28,6 +31,17 @@ def test_samples_stay_where_they_are_made(spark, talks, name):
     assert found.count() > 0
 
 
+def rows_of(df):
+    # NaN is null here: neither equals itself.
+    return sorted(tuple(repr(None if x != x else x) for x in row) for row in df.collect())
+
+
+def test_augmented_figures_are_those_of_the_samples(spark, talks):
+    made = audio.augment(audio_queries.samples(spark, talks), {"speed_range": (0.95, 1.05), "pitch_semitones": 1.0}, audio_queries.RATE)
+    plain = made.select("id", F.size("samples").alias("n"), F.round(F.array_max("samples"), 4).alias("peak"))
+    assert rows_of(QUERIES["au4_augmentation"](spark, talks)) == rows_of(plain)
+
+
 def plain_pitches(x, rate, low, high, hop, size=1024, threshold=0.1):
     """Differences of each frame at each lag, as they are defined."""
     x, half, out = np.pad(x, size // 2), size // 2, []
