@@ -8,10 +8,13 @@ blocks before any sample is read.
 from __future__ import annotations
 
 import bisect
+import contextlib
 import itertools
 import struct
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any, BinaryIO
 
 import numpy as np
@@ -172,17 +175,21 @@ class PcmReader(DataSourceReader):
         """The blocks that begin in the ranges, one row a channel. A file without samples that can be read has no row."""
         held: list[tuple] = []
         weight = 0
-        for path, ranges in itertools.groupby(partition.ranges, key=lambda r: r.path):
-            with opened(path) as file:
-                for row in self._blocks(file, path, list(ranges)):
-                    held.append(row)
-                    weight += row[4].nbytes
-                    if weight >= BATCH:
-                        yield _batch(held)
-                        held, weight = [], 0
+        for row in self.rows(partition):
+            held.append(row)
+            weight += row[4].nbytes
+            if weight >= BATCH:
+                yield _batch(held)
+                held, weight = [], 0
         if held:
             yield _batch(held)
 
+    def rows(self, partition: Ranges) -> Iterator[tuple]:
+        """read() by single rows of SCHEMA."""
+        for path, ranges in itertools.groupby(partition.ranges, key=lambda r: r.path):
+            with opened(path) as file:
+                yield from self._blocks(file, path, list(ranges))
+
     def _blocks(self, file: Any, path: str, ranges: list[Range]) -> Iterator[tuple]:
         try:
             pcm = wav_layout(file, ranges[0].size)
@@ -229,6 +236,24 @@ def read_blocks(spark: SparkSession, path: str, seconds: float = 300.0, range_by
     return spark.read.format("pcm_blocks").option("blockSeconds", seconds).option("rangeBytes", range_bytes).load(path)
 
 
+@contextlib.contextmanager
+def passing_files(contents: Iterable[tuple[str, bytes]]) -> Iterator[str]:
+    """A folder of this task's own with files of these names and contents, gone when they have been read."""
+    with tempfile.TemporaryDirectory() as folder:
+        for name, content in contents:
+            Path(folder, name).write_bytes(content)
+        yield folder
+
+
+def blocks_of(contents: Iterable[tuple[str, bytes]], seconds: float = 300.0, range_bytes: int = RANGE) -> Iterator[tuple]:
+    """Rows of SCHEMA as read_blocks() has them, of files that a task has at hand: they are written, read by range and removed, so
+    that the disk holds those of one call at a time."""
+    with passing_files(contents) as folder:
+        reader = PcmReader({"path": folder, "blockseconds": str(seconds), "rangebytes": str(range_bytes)})
+        for partition in reader.partitions():
+            yield from reader.rows(partition)
+
+
 def read_windows(windows: DataFrame) -> DataFrame:
     """windows(path, start, end, channel) -> the same with samples, read from where they lie and from nowhere else.
 
