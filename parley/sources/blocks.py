@@ -254,12 +254,8 @@ def blocks_of(contents: Iterable[tuple[str, bytes]], seconds: float = 300.0, ran
             yield from reader.rows(partition)
 
 
-def read_windows(windows: DataFrame) -> DataFrame:
-    """windows(path, start, end, channel) -> the same with samples, read from where they lie and from nowhere else.
-
-    start counts as 0 if it is negative; int((end - start) * rate) samples are read, fewer at the end of the file. A null
-    channel is the mean of all. samples is null if the file can't be read, has no such channel, or a bound is null.
-    """
+def window_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of windows with samples, as read_windows() has them; windows of a file should lie together."""
 
     def one(file: Any, pcm: Pcm, start: float, end: float, channel: Any) -> np.ndarray | None:
         start = max(0.0, start)
@@ -268,29 +264,35 @@ def read_windows(windows: DataFrame) -> DataFrame:
             return x.mean(axis=1)
         return x[:, int(channel)] if 0 <= channel < pcm.channels else None
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, file, pcm = None, None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.path != path:
-                    if file is not None:
-                        file.close()
-                    path, file, pcm = row.path, None, None
-                    try:
-                        file = opened(path)
-                        pcm = wav_layout(file, file.size())
-                    except (OSError, ValueError, AttributeError):
-                        pcm = None
-                known = pcm is not None and not pd.isna(row.start) and not pd.isna(row.end)
-                out.append(one(file, pcm, row.start, row.end, row.channel) if known else None)
-            yield batch.assign(samples=out)
-        if file is not None:
-            file.close()
+    path, file, pcm = None, None, None
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            if row.path != path:
+                if file is not None:
+                    file.close()
+                path, file, pcm = row.path, None, None
+                try:
+                    file = opened(path)
+                    pcm = wav_layout(file, file.size())
+                except (OSError, ValueError, AttributeError):
+                    pcm = None
+            known = pcm is not None and not pd.isna(row.start) and not pd.isna(row.end)
+            out.append(one(file, pcm, row.start, row.end, row.channel) if known else None)
+        yield batch.assign(samples=out)
+    if file is not None:
+        file.close()
 
+
+def read_windows(windows: DataFrame) -> DataFrame:
+    """windows(path, start, end, channel) -> the same with samples, read from where they lie and from nowhere else.
+
+    start counts as 0 if it is negative; int((end - start) * rate) samples are read, fewer at the end of the file. A null
+    channel is the mean of all. samples is null if the file can't be read, has no such channel, or a bound is null.
+    """
     asked = windows.select("path", *(F.col(c).cast(t).alias(c) for c, t in (("start", "double"), ("end", "double"), ("channel", "int"))))
     # Windows of a file lie together, in order; a file with very many of them is still dealt to several tasks.
-    return asked.repartitionByRange("path", "start").sortWithinPartitions("path", "start").mapInPandas(each, "path string, start double, end double, channel int, samples array<float>")
+    return asked.repartitionByRange("path", "start").sortWithinPartitions("path", "start").mapInPandas(window_rows, "path string, start double, end double, channel int, samples array<float>")
 
 
 def save_files(contents: DataFrame, folder: str) -> DataFrame:
