@@ -23,7 +23,7 @@ def talks(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["au3_prosody", "au4_augmentation", "au5_audio_validation", "wn20_speech_segments", "src2_audio_windows", "src2_audio_blocks"])
+@pytest.mark.parametrize("name", ["au3_prosody", "au4_augmentation", "au5_audio_validation", "wn20_speech_segments", "src1_audio_probe", "src2_audio_windows", "src2_audio_blocks"])
 def test_samples_stay_where_they_are_made(spark, talks, name):
     """Samples are some hundred times their text: none is a column that the JVM copies."""
     found = QUERIES[name](spark, talks)
