@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from parley.operators import diarization
 from parley.plans import QUERIES, audio_queries
 from parley.sources import audio
 
@@ -63,3 +64,10 @@ def test_pitches_against_differences(rate, hop):
     x = np.concatenate([audio.tone(180.0, 0.7, rate), np.zeros(rate // 4), audio.tone(90.0, 0.5, rate) + 0.05 * rng.standard_normal(rate // 2)]).astype(float)
     assert np.allclose(audio.pitches(x, rate, 65, 500, hop), plain_pitches(x, rate, 65, 500, hop), atol=1e-5)
     assert np.allclose(audio.pitches(np.zeros(rate), rate, 65, 500, hop), plain_pitches(np.zeros(rate), rate, 65, 500, hop))
+
+
+def test_features_equal_those_of_stored_sound(spark, talks):
+    stored = diarization.window_features(audio_queries.speech(spark, talks))
+    made = audio_queries.heard(spark, talks, diarization.feature_rows, diarization.FEATURES)
+    assert "samples#" in stored._jdf.queryExecution().optimizedPlan().toString() and "samples#" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(made) == rows_of(stored) and made.count() > 0
